@@ -22,8 +22,13 @@ def files_within_cap(files: DataFrame, max_units: int, n: str = "n_units",
     look at the first `max_units` non-empty files of a repository, however
     many files that repository has.
     """
-    counted = files.where(F.col(n) > 0).select(*keys, *order, n)
-    head = top_k_per_group(counted, list(keys), list(order), max_units, rank="_rank").drop("_rank")
+    counted = files.select(*keys, *order, n)
+    # empty files rank last instead of being filtered out first: a filter on a
+    # computed count would be pushed below it and compute it twice
+    nonempty_first = [F.col(n) == 0, *order]
+    head = top_k_per_group(
+        counted, list(keys), nonempty_first, max_units, rank="_rank"
+    ).where(F.col(n) > 0).drop("_rank")
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return head.withColumn(
         "units_before", F.coalesce(F.sum(n).over(before), F.lit(0))
