@@ -243,6 +243,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that was read in fewer splits than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fill(text, id_, cap, n, k):
     out = F.replace(text, F.lit("@id@"), id_)
     out = F.replace(out, F.lit("@Id@"), cap)
@@ -257,7 +263,7 @@ def code_files(spark: SparkSession, sf_dir: str, *extensions: str) -> DataFrame:
         F.struct(F.lit(s).alias("stem"), F.lit(e).alias("ext"), F.lit(t).alias("text"))
         for s, e, t in wanted
     ])
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select(
         F.expr(REPO.format(div="div", text="string")).alias("repo"),
         F.col("p_partkey").cast("string").alias("k"),
         F.replace("p_name", F.lit(" "), F.lit("_")).alias("id"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as K
 from corpusloom.catalog import sql as S
-from corpusloom.catalog.corpus import q, table
+from corpusloom.catalog.corpus import q, spread, table
 from corpusloom.catalog.registry import query
 from corpusloom.functions import chat, naming, spec, text
 from corpusloom.plans.chat import render_conversations
@@ -45,7 +45,7 @@ def path_expr(kind: str) -> str:
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _over(expression: str, alias: str, fn):
