@@ -200,7 +200,8 @@ def context(style: str) -> str:
       ELSE 'File: ' || file || ' | ' || coalesce({by_kind(5)}, {style}) END"""
 
 
-EXAMPLE_METADATA = f"""kind AS type, name, 'src/' || file AS file, language,
+# metadata that is derived from a unit; its name, file and language are columns
+DERIVED_METADATA = f"""kind AS type,
   CASE WHEN kind = 'python_function' THEN {line_count('code')} END AS lines,
   CASE WHEN kind = 'python_function' THEN {complexity('code')} END AS complexity,
   CASE WHEN kind IN ('python_function', 'python_class') THEN coalesce(doc, '') <> '' END
@@ -211,6 +212,9 @@ EXAMPLE_METADATA = f"""kind AS type, name, 'src/' || file AS file, language,
   CASE WHEN kind = 'python_documented_function' THEN {docstring_basic('doc')} END AS doc_style"""
 
 
+EXAMPLE_METADATA = f"name, 'src/' || file AS file, language, {DERIVED_METADATA}"
+
+
 def passes_quality(code: str, name: str) -> str:
     return f"""{line_count(code)} BETWEEN {K.MIN_UNIT_LINES} AND {K.MAX_UNIT_LINES}
       AND lower(coalesce({name}, '')) NOT IN {in_list(K.GENERIC_NAMES)}

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+from corpusloom import constants as K
+
 UNITS = (
     "array<struct<kind:string,seq:bigint,name:string,code:string,docstring:string,"
     "arg_count:int,method_count:int,methods:array<string>,error:string>>"
@@ -47,6 +49,19 @@ def _error(kind: str, seq: int, name: str | None, problem: Exception) -> dict:
     return {"kind": kind, "seq": seq, "name": name, "error": type(problem).__name__}
 
 
+# units with more lines than this are not kept; see `constants`
+_LINE_LIMIT = {
+    "python_function": K.MAX_PYTHON_FUNCTION_LINES, "python_class": K.MAX_UNIT_LINES,
+}
+
+
+def _surely_too_long(kind: str, node) -> bool:
+    """Every statement takes a line of its own when code is written back, so
+    counting statements saves writing back most of the units that are too long."""
+    limit = _LINE_LIMIT[kind]
+    return sum(isinstance(n, ast.stmt) for n in ast.walk(node)) > limit
+
+
 def _unit(kind: str, seq: int, node) -> dict:
     unit = {
         "kind": kind, "seq": seq, "name": node.name,
@@ -71,7 +86,7 @@ def units_of(text: str) -> list[dict]:
     kinds = {ast.FunctionDef: "python_function", ast.ClassDef: "python_class"}
     for i, node in enumerate(ast.walk(tree)):
         kind = kinds.get(type(node))
-        if kind is None:
+        if kind is None or _surely_too_long(kind, node):
             continue
         try:
             found.append(_unit(kind, 2 * i, node))

@@ -103,22 +103,37 @@ def matches_style(kind: Column, name: Column, functions: Column, classes: Column
     return F.coalesce(style == wanted, F.lit(False))
 
 
-def attach_style(examples: DataFrame, profile: DataFrame, columns: list[str],
-                 salts: int = 16) -> DataFrame:
-    """Join per-repository columns to examples.
-
-    The profile grows with the number of repositories, so it is not broadcast
-    by hint; Spark broadcasts it when its size allows.  Otherwise the rows of
-    a repository are spread over `salts` join keys, with as many copies of its
-    one profile row.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
+                salt_columns: list[str], salts: int = 16) -> DataFrame:
+    """Join in which a hot key of `left` is spread over `salts` join keys.
+
+    `right` should have few rows per key; it is copied `salts` times.  Nothing
+    is broadcast by hint: when `right` is small enough for that, Spark finds
+    out from its size.
     """
-    right = profile.select(
-        "repo", *columns, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    salt = F.pmod(F.xxhash64(*salt_columns), F.lit(salts)).cast("int")
+    joined = left.withColumn("_salt", salt).join(
+        right.select("*", copies), [*keys, "_salt"], how
     )
-    left = examples.withColumn(
-        "_salt", F.pmod(F.xxhash64("path", "seq"), F.lit(salts)).cast("int")
+    return joined.drop("_salt")
+
+
+def attach_style(examples: DataFrame, profile: DataFrame, columns: list[str]) -> DataFrame:
+    """Add per-repository columns to examples; NULL without a profile."""
+    return salted_join(
+        examples, profile.select("repo", *columns), ["repo"], "left", ["path", "seq"]
     )
-    return left.join(right, ["repo", "_salt"], "left").drop("_salt")
+
+
+def exclude_names(examples: DataFrame, names: DataFrame, name: str, salt_columns: list[str]) -> DataFrame:
+    """Drop examples with a name in `names` (one column of that name), ignoring case.
+
+    For a list of one's own; the built-in one is part of the quality filter.
+    """
+    listed = names.select(F.lower(F.col(name)).alias("_name")).distinct()
+    lowered = examples.withColumn("_name", F.lower(F.coalesce(name, F.lit(""))))
+    return salted_join(lowered, listed, ["_name"], "left_anti", salt_columns).drop("_name")
 
 
 def input_context(examples: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusloom.schemas import METADATA, TRAINING_RECORD
 
@@ -26,8 +27,8 @@ def write_metadata(dataset: DataFrame, path: str, with_id: bool = True) -> None:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(f"example_id string, {METADATA.simpleString()[7:-1]}").option(
-        "mode", "FAILFAST").json(path)
+    schema = StructType([StructField("example_id", StringType()), *METADATA.fields])
+    rows = read_jsonl(spark, path, schema)
     names = [f.name for f in METADATA.fields]
     return rows.select("example_id", F.struct(*names).alias("metadata"))
 
