@@ -205,7 +205,7 @@ PYTHON_UNITS = (
     ("u", "python_function", 16, "validate_@id@",
      "def validate_@id@(value):\n    value = value + @n@\n    return value",
      None, 1, None, None),
-    ("u", "python_function", 44, "process_item",
+    ("u", "python_function", 22, "process_item",
      "def process_item(self, item, *rest, flag=False, **kw) -> List[int]:\n"
      "    for part in item:\n        while part:\n            part -= @n@\n    return [item]",
      None, 2, None, None),
@@ -213,22 +213,22 @@ PYTHON_UNITS = (
      '@cache\ndef compute_@id@(a, b):\n    """:param a: first\n    :return: sum\n    """\n\n'
      "    def inner_set(x):\n        y = x + @n@\n        return y\n    return inner_set(a) + b",
      _DOC_S, 2, None, None),
-    ("s", "python_function", 8, "inner_set",
+    ("s", "python_function", 6, "inner_set",
      "def inner_set(x):\n    y = x + @n@\n    return y", None, 1, None, None),
 )
 # stem, category, name, position
 PYTHON_NAMES = (
-    ("f", "functions", "get_@id@", 1), ("f", "variables", "x", 8),
+    ("f", "functions", "get_@id@", 1), ("f", "variables", "x", 6),
     ("m", "classes", "@Id@Manager", 1), ("m", "variables", "size", 2),
     ("m", "functions", "__init__", 3),
     ("u", "variables", "MAX_SIZE", 5), ("u", "variables", "default_size", 6),
     ("u", "classes", "@Id@Handler", 7), ("u", "functions", "validate_@id@", 8),
-    ("u", "functions", "process_item", 22), ("u", "variables", "value", 24),
-    ("s", "functions", "compute_@id@", 1), ("s", "functions", "inner_set", 4),
-    ("s", "variables", "y", 11),
+    ("u", "functions", "process_item", 11), ("u", "variables", "value", 12),
+    ("s", "functions", "compute_@id@", 1), ("s", "functions", "inner_set", 3),
+    ("s", "variables", "y", 5),
     ("l", "functions", "long_@id@", 1), ("l", "functions", "many_@id@", 2),
     ("l", "classes", "@Id@Table", 3),
-) + tuple(("l", "variables", "a", 10 + i) for i in range(170))
+) + tuple(("l", "variables", "a", 4 + i) for i in range(170))
 PYTHON_DOCSTRINGS = (("f", _DOC_F, 1), ("u", _DOC_U, 7), ("s", _DOC_S, 1))
 PYTHON_IMPORTS = (
     ("u", ("import os", "import sys", "import json", "from typing import List, Dict",

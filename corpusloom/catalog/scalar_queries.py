@@ -19,10 +19,17 @@ _CODE = (
 # names of many shapes, made of the first two words of a text
 _W1 = "split_part(text, ' ', 1)"
 _W2 = "split_part(text, ' ', 2)"
+
+
+def _ascii_upper(x: str) -> str:
+    # `upper` of a sharp s is not the same everywhere
+    return f"translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 _NAME = f"""CASE doc_id % 14
   WHEN 0 THEN lower({_W1}) || '_' || lower({_W2}) WHEN 1 THEN {_W1}
-  WHEN 2 THEN lower({_W1}) || 'X' || {_W2} WHEN 3 THEN upper({_W1}) || '_' || upper({_W2})
-  WHEN 4 THEN lower({_W1}) WHEN 5 THEN upper({_W1}) WHEN 6 THEN 'A_' || {_W1}
+  WHEN 2 THEN lower({_W1}) || 'X' || {_W2} WHEN 3 THEN {_ascii_upper(_W1)} || '_' || {_ascii_upper(_W2)}
+  WHEN 4 THEN lower({_W1}) WHEN 5 THEN {_ascii_upper(_W1)} WHEN 6 THEN 'A_' || {_W1}
   WHEN 7 THEN 'get' || {_W1} WHEN 8 THEN 'reset_' || {_W1} WHEN 9 THEN 'Compute' || {_W1}
   WHEN 10 THEN 'check_' || {_W1} WHEN 11 THEN {_W1} || 'Manager'
   WHEN 12 THEN {_W1} || '_handler' ELSE '_' END"""

@@ -9,6 +9,9 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -49,17 +52,35 @@ def _error(kind: str, seq: int, name: str | None, problem: Exception) -> dict:
     return {"kind": kind, "seq": seq, "name": name, "error": type(problem).__name__}
 
 
+# fields of a node that hold statements, or what holds them
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
 # units with more lines than this are not kept; see `constants`
 _LINE_LIMIT = {
     "python_function": K.MAX_PYTHON_FUNCTION_LINES, "python_class": K.MAX_UNIT_LINES,
 }
 
 
+def _statements(root: ast.AST) -> Iterator[ast.AST]:
+    """The statements below a node, breadth first; the node itself comes first.
+
+    Functions, classes, assignments and imports are statements, so there is no
+    need to look at expressions, which are most of a tree.
+    """
+    pending = deque([root])
+    while pending:
+        node = pending.popleft()
+        yield node
+        for block in _BLOCKS:
+            pending.extend(getattr(node, block, ()))
+
+
 def _surely_too_long(kind: str, node) -> bool:
     """Every statement takes a line of its own when code is written back, so
     counting statements saves writing back most of the units that are too long."""
     limit = _LINE_LIMIT[kind]
-    return sum(isinstance(n, ast.stmt) for n in ast.walk(node)) > limit
+    nodes = (n for n in _statements(node) if isinstance(n, ast.stmt))
+    return next(islice(nodes, limit, None), None) is not None
 
 
 def _unit(kind: str, seq: int, node) -> dict:
@@ -77,14 +98,14 @@ def _unit(kind: str, seq: int, node) -> dict:
 
 
 def units_of(text: str) -> list[dict]:
-    """Functions and classes of one file in walk order; `async def` is not one."""
+    """Functions and classes of one file, breadth first; `async def` is not one."""
     try:
         tree = _parse(text)
     except Exception as problem:
         return [_error("file", 0, None, problem)]
     found = []
     kinds = {ast.FunctionDef: "python_function", ast.ClassDef: "python_class"}
-    for i, node in enumerate(ast.walk(tree)):
+    for i, node in enumerate(_statements(tree)):
         kind = kinds.get(type(node))
         if kind is None or _surely_too_long(kind, node):
             continue
@@ -100,23 +121,23 @@ def facts_of(text: str) -> dict | None:
     try:
         tree = _parse(text)
         names, docstrings, imports = [], [], []
-        for pos, node in enumerate(ast.walk(tree)):
-            match node:
-                case ast.FunctionDef() | ast.ClassDef():
-                    category = "functions" if isinstance(node, ast.FunctionDef) else "classes"
-                    names.append({"category": category, "name": node.name, "pos": pos})
-                    if doc := ast.get_docstring(node):
-                        docstrings.append({"text": doc, "pos": pos})
-                case ast.Assign():
-                    names += [
-                        {"category": "variables", "name": t.id, "pos": pos}
-                        for t in node.targets if isinstance(t, ast.Name)
-                    ]
-                case ast.Import():
-                    imports += [f"import {a.name}" for a in node.names]
-                case ast.ImportFrom():
-                    listed = ", ".join(a.name for a in node.names)
-                    imports.append(f"from {node.module or ''} import {listed}")
+        for pos, node in enumerate(_statements(tree)):
+            kind = type(node)
+            if kind is ast.FunctionDef or kind is ast.ClassDef:
+                category = "functions" if kind is ast.FunctionDef else "classes"
+                names.append({"category": category, "name": node.name, "pos": pos})
+                if doc := ast.get_docstring(node):
+                    docstrings.append({"text": doc, "pos": pos})
+            elif kind is ast.Assign:
+                names += [
+                    {"category": "variables", "name": t.id, "pos": pos}
+                    for t in node.targets if type(t) is ast.Name
+                ]
+            elif kind is ast.Import:
+                imports += [f"import {a.name}" for a in node.names]
+            elif kind is ast.ImportFrom:
+                listed = ", ".join(a.name for a in node.names)
+                imports.append(f"from {node.module or ''} import {listed}")
         is_import = [isinstance(n, (ast.Import, ast.ImportFrom)) for n in tree.body]
         return {
             "names": names, "docstrings": docstrings, "imports": imports,
