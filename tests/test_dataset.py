@@ -54,7 +54,7 @@ def test_pipeline(corpus):
     # five of nine functions in the sample have one-word names
     assert "| Functions: lowercase | Classes: PascalCase | Indentation: spaces |" in user
     assert rows[0].messages[2].role == "assistant"
-    assert rows[0].metadata.priority == "high" and rows[0].metadata.complexity == 3
+    assert rows[0].metadata.priority == "high" and rows[0].metadata.complexity == 2
 
 
 def test_documented_twin_never_survives(corpus):
