@@ -41,14 +41,23 @@ def naming_style(name: Column) -> Column:
     )
 
 
-def complexity(code: Column) -> Column:
-    """Keyword occurrences, not word-bounded: `elif` counts as an `if`."""
-    low = F.lower(code)
+def _keyword_count(low: Column) -> Column:
     return reduce(
         lambda a, b: a + b, [count_substring(low, w) for w in K.COMPLEXITY_KEYWORDS]
     )
 
 
+def complexity(code: Column) -> Column:
+    """Keyword occurrences, not word-bounded: `elif` counts as an `if`."""
+    return _keyword_count(F.lower(code))
+
+
+def complexity_in_lambda(code: Column) -> Column:
+    """The same for use inside a higher-order function or a condition, where
+    Spark does not share common subexpressions: the text is lowered once."""
+    return F.transform(F.array(F.lower(code)), _keyword_count)[0]
+
+
 def _has(c: Column, *words: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 

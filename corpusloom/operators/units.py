@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions.naming import (
-    class_instruction, complexity, docstring_style_basic, first_sentence,
+    class_instruction, complexity_in_lambda, docstring_style_basic, first_sentence,
     function_instruction, naming_style,
 )
 from corpusloom.functions.text import line_count, short_path
@@ -40,7 +40,7 @@ def _keep_function_unit(u: Column) -> Column:
     good_function = (
         ~F.startswith(u["name"], F.lit("__"))
         & lines.between(K.MIN_UNIT_LINES, K.MAX_PYTHON_FUNCTION_LINES)
-        & (complexity(u["code"]) <= K.MAX_COMPLEXITY)
+        & (complexity_in_lambda(u["code"]) <= K.MAX_COMPLEXITY)
     )
     good_class = lines <= K.MAX_UNIT_LINES
     return u["error"].isNull() & F.when(is_function, good_function).when(
@@ -171,7 +171,7 @@ def to_examples(units: DataFrame, registry: ExtractorRegistry = DEFAULT_REGISTRY
         "file": short_path(F.col("path")),
         "language": F.col("language"),
         "lines": F.when(is_function, line_count(code)),
-        "complexity": F.when(is_function, complexity(code)),
+        "complexity": F.when(is_function, complexity_in_lambda(code)),
         "has_docstring": F.when(is_function | is_class, has_doc),
         "arg_count": F.when(is_function, F.col("arg_count")),
         "method_count": F.when(is_class, F.col("method_count")),
