@@ -287,7 +287,7 @@ def scan_code_files(spark, sf_dir):
     skipped = files.select(
         F.concat("path", F.lit(".txt")).alias("path"), "content"
     ).unionByName(files.select(F.regexp_replace("path", "_pkg", "vendor").alias("path"), "content"))
-    root = fresh_path(spark, "tree")
+    root = codefiles.mounted_path(fresh_path(spark, "tree"))
     _write_tree(files.unionByName(skipped), root)
     codefiles.register(spark)
     tree = spark.read.format("codefiles").option("path", root).option("splits", "32").load()

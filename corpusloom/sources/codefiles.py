@@ -4,7 +4,7 @@ The built-in file sources hide every name that starts with `_` or `.`, which
 loses files such as `__init__.py`; this source does not.
 
 Options
-    path        directories below which to look, separated by commas; each
+    path        mounted directories below which to look, separated by commas; each
                 child directory of one is a repository, unless `repo` is given
     repo        name of the one repository that `path` holds
     splits      directories to reach before the tree is handed to tasks (256)
@@ -46,6 +46,14 @@ class Subtree(InputPartition):
     slices: int
 
 
+def mounted_path(path: str) -> str:
+    """A path that tasks can open as a file; only mounted folders have one."""
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if "://" in plain:
+        raise ValueError(f"not a mounted folder: {path}")
+    return plain
+
+
 def _children(directory: str) -> list[os.DirEntry]:
     try:
         with os.scandir(directory) as entries:
@@ -71,7 +79,9 @@ def _files(part: Subtree) -> Iterator[os.DirEntry]:
 
 class CodeFilesReader(DataSourceReader):
     def __init__(self, options, selection):
-        self.roots = [p for p in options.get("path", "").split(",") if p]
+        self.roots = [
+            mounted_path(p).rstrip("/") for p in options.get("path", "").split(",") if p
+        ]
         if not self.roots:
             raise ValueError("option `path` is required")
         self.repo = options.get("repo")
