@@ -168,6 +168,21 @@ def test_long_lists(spark):
     assert frame.select(F.size(match_units(F.col("content"), kind, 0))).first()[0] == 1
 
 
+def test_long_heads(spark):
+    """Heads that fill a whole file of the largest size."""
+    texts = {
+        "java_method": "public " + "a " * 49_000 + "f(int a) throws X" + ", Y" * 500 + " {\n\n\n}",
+        "cpp_function": "int" + " " * 45_000 + "f(" + "a" * 50_000 + ") {\n\n\n}",
+        "rust_function": "fn f<" + "T," * 24_000 + ">(" + "x" * 20_000 + ") -> " + "R " * 9_000 + "{\n\n}",
+        "go_function": "func (" + "a," * 20_000 + ") f(" + "b," * 20_000 + ") (int) {\n\n}",
+    }
+    for kind in DEFAULT_KINDS:
+        if kind.kind in texts:
+            frame = spark.createDataFrame([(texts[kind.kind],)], "content string")
+            found = frame.select(F.size(match_units(F.col("content"), kind, 0))).first()[0]
+            assert found == 1, kind.kind
+
+
 @pytest.mark.parametrize("kind", DEFAULT_KINDS, ids=lambda k: k.kind)
 def test_possessive_patterns_find_the_same(spark, kind):
     """Random token soup: same matches and names as the plain pattern."""
