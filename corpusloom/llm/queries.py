@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, decontaminate, token_orc
+from corpusloom.llm import (
+    byte_bpe, decontaminate, html_main, langid_cnn, quality_mil, token_orc,
+)
 from corpusloom.llm.common import new_path, table
 
 #: Folder of the public tokenizers' vocabularies, the same on every executor.
@@ -23,12 +25,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *decontaminate.digests())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality_mil.held_out()
+    network = quality_mil.train(docs.where(~held_out), labels.where(~held_out))
+    scored = quality_mil.score(docs.select("doc_id", "text"), network)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= quality_mil.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS).drop("text"), RANKS)
     return decoded.select("doc_id", *byte_bpe.digests(decoded))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid_cnn.held_out()
+    network = langid_cnn.train(docs.where(~held_out))
+    predicted = langid_cnn.predict(docs.select("doc_id", "text"), network)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -37,10 +58,18 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read(spark, path))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_main.extract(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_language": op7_language,
     "op9_token_orc": op9_token_orc,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 SQL: dict[str, str] = {}
