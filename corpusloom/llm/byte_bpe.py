@@ -40,9 +40,9 @@ STATES = 11
 # Classes of code points.
 C_SPACE, C_BLANK, C_LETTER, C_DIGIT, C_OTHER, C_APOSTROPHE, C_SHORT, C_R, C_V, C_L, C_E = range(11)
 CLASSES = 11
-CACHED_PIECES = 1 << 17
+CACHED_PIECES = 1 << 16
 SHORT_PIECE = 32
-MERGED_AT_ONCE = 1 << 14
+MERGED_AT_ONCE = 1 << 12
 UNKNOWN = np.int32(2**31 - 1)
 ROW = 256
 
@@ -386,7 +386,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", to: str
     return map_batches(encoded, run, schema)
 
 
-def _cut(batch: pa.RecordBatch, ids: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, ids: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids)), 0).to_pylist()
     start = held = 0
     for row, count in enumerate(counts):

@@ -276,13 +276,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     )
     joined = keyed.join(of_page, [host, page], "left").select(*pages.columns, own)
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
+    kept = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, source):
             known = batch.column(own).to_pylist()
             out = [Page(html).text(set(t or ())) for html, t in zip(texts(batch, source), known)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in pages.columns), pa.array(out, pa.string())], [*pages.columns, name]
+                [*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, name]
             )
 
     return map_batches(joined, run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    byte_bpe, decontaminate, html_main, langid_cnn, quality_mil, token_orc,
+    byte_bpe, decontaminate, html_main, langid_cnn, line_dedup, quality_mil, token_orc,
 )
 from corpusloom.llm.common import new_path, table
 
@@ -42,6 +42,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", *byte_bpe.digests(decoded))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", F.col("line_counts.lines").alias("n_lines"), F.col("line_counts.copies").alias("n_copies"),
+        F.col("line_counts.near_copies").alias("n_near_copies"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid_cnn.held_out()
@@ -67,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_language": op7_language,
     "op9_token_orc": op9_token_orc,
     "op10_html_main_text": op10_html_main_text,
