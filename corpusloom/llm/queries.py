@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    byte_bpe, decontaminate, html_main, langid_cnn, line_dedup, quality_mil, token_orc,
+    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, quality_mil, token_orc,
 )
 from corpusloom.llm.common import new_path, table
 
@@ -36,6 +36,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_imi.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS).drop("text"), RANKS)
@@ -75,6 +79,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_embedding_near_dup": op3_embedding_near_dup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op7_language": op7_language,
