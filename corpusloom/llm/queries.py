@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, quality_mil, token_orc,
+    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, ngram_join, quality_mil, token_orc,
 )
 from corpusloom.llm.common import new_path, table
 
@@ -55,6 +55,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid_cnn.held_out()
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dup": op3_embedding_near_dup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language": op7_language,
     "op9_token_orc": op9_token_orc,
     "op10_html_main_text": op10_html_main_text,
