@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,3 +110,79 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the decimal id, modulo `folds`; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % folds
+
+
+class Membership:
+    """A bitmap of fixed size over 64-bit keys: no false negatives; more keys only mean more false positives."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes]):
+        self.bits = bits
+        self.map = np.zeros(1 << max(bits - 3, 0), np.uint8)
+        for block, data in blocks.items():
+            self.map[block * BLOCK_BYTES:block * BLOCK_BYTES + len(data)] = np.frombuffer(data, np.uint8)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.held(np.array([key], np.int64))[0])
+
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        place = bit_places(keys, self.bits)
+        return (self.map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+BLOCK_BYTES = 8192
+
+
+def bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap_blocks(places: np.ndarray) -> list[tuple[int, bytes]]:
+    """Parts of the bitmap in which bits are set."""
+    places = np.unique(places)
+    out = []
+    for part in np.split(places, np.flatnonzero(np.diff(places // (BLOCK_BYTES * 8))) + 1):
+        if len(part):
+            block = int(part[0]) // (BLOCK_BYTES * 8)
+            data = np.zeros(BLOCK_BYTES, np.uint8)
+            inner = part - block * BLOCK_BYTES * 8
+            np.bitwise_or.at(data, inner >> 3, np.uint8(1) << (inner & 7).astype(np.uint8))
+            out.append((block, data.tobytes()))
+    return out
+
+
+def united(blocks: DataFrame, bits: int) -> Membership:
+    """The bitmap from rows of (block, data), united in Spark; the driver gets it once, 2 ** bits bits."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(d, np.uint8) for d in table.column("data").to_pylist()]
+        return pa.table({"block": table.column("block").slice(0, 1), "data": pa.array([np.bitwise_or.reduce(parts).tobytes()])})
+
+    found = blocks.groupBy("block").applyInArrow(run, "block int, data binary").collect()
+    return Membership(bits, {row.block: bytes(row.data) for row in found})
+
+
+def membership(keys: DataFrame, bits: int = 24) -> Membership:
+    """Bitmap of the keys in the only column, a long."""
+    (name,) = keys.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [bit_places(b.column(name).to_numpy(zero_copy_only=False).astype(np.int64), bits) for b in batches]
+        found = bitmap_blocks(np.concatenate(places)) if places else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["block", "data"]
+        )
+
+    return united(map_batches(keys.where(F.col(name).isNotNull()), run, "block int, data binary"), bits)
+
+
+def only_members(rows: DataFrame, key: str, members: Membership) -> DataFrame:
+    """The rows whose key may be a member."""
+    shared = rows.sparkSession.sparkContext.broadcast(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = shared.value.held(batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield batch.filter(pa.array(held))
+
+    return map_batches(rows, run, rows.schema)

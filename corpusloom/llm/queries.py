@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, ngram_join, quality_mil, token_orc,
+    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, ngram_join, quality_mil, suffix_dedup, token_orc,
 )
 from corpusloom.llm.common import new_path, table
 
@@ -67,6 +67,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove(docs).select("doc_id", *suffix_dedup.digests())
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_language": op7_language,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_orc": op9_token_orc,
     "op10_html_main_text": op10_html_main_text,
 }
