@@ -29,7 +29,12 @@ from corpusloom.llm.common import map_batches, slices, texts
 
 END_ID = 2
 CACHED_WORDS = 1 << 17
-WORDS_AT_ONCE = 1 << 13
+WORDS_AT_ONCE = 1 << 11
+#: How the vocabulary marks the end of a word; signs that are a piece of their own after letters; where letters begin that a
+#: normalizer may take apart.
+WORD_END = "</w>"
+SIGNS = ".,;:!?"
+FIRST_UNSURE = "\u0250"
 ROWS_AN_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
@@ -38,7 +43,10 @@ FILE_BYTES = 32 << 20
 
 
 class Words(dict):
-    """Packed ids of words; the older half goes when it is full."""
+    """Packed ids of words; the older half goes when it is full.
+
+    Most new words are letters with a sign at the end. The library gets those letters, lowered as it would lower them, many in one
+    text: a run of letters is one piece of it, whose last id is the only one that ends a word."""
 
     def __init__(self, path: str, size: int = CACHED_WORDS):
         super().__init__()
@@ -46,22 +54,48 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for piece, number in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        self.signs = dict(zip(SIGNS, self._one_by_one(list(SIGNS))))
         self.size, self.old = size, {}
 
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(code.ids, np.uint32).tobytes() for code in codes]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):  # a letter that the library takes apart
+            return self._one_by_one(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def learn(self, words: list[str]) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        missing = []
-        for word in set(words).difference(self):
-            if (packed := self.old.get(word)) is None:
-                missing.append(word)
-            else:
+        letters: dict[str, bytes | None] = {}
+        split, others = [], []
+        for word in set(words).difference(self, ("",)):
+            if (packed := self.old.get(word)) is not None:
                 self[word] = packed
-        for at in range(0, len(missing), WORDS_AT_ONCE):
-            some = missing[at:at + WORDS_AT_ONCE]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[word] = np.array(code.ids, np.uint32).tobytes()
+                continue
+            plain = word[:-1] if word[-1] in self.signs else word
+            if plain.isalpha() and max(plain) < FIRST_UNSURE and (low := plain.lower()).isalpha():
+                split.append((word, low, word[len(plain):]))
+                letters[low] = self.get(low) or self.old.get(low)
+            else:
+                others.append(word)
+        new = [low for low, packed in letters.items() if packed is None]
+        for encode, some in ((self._together, new), (self._one_by_one, others)):
+            for at in range(0, len(some), WORDS_AT_ONCE):
+                part = some[at:at + WORDS_AT_ONCE]
+                self.update(zip(part, encode(part)))
+        for word, low, sign in split:
+            packed = letters[low] or self[low]
+            self[word] = packed + self.signs[sign] if sign else packed
 
 
 def packed_texts(values: list[str], words: Words, by_word: bool) -> list[bytes]:
@@ -72,7 +106,7 @@ def packed_texts(values: list[str], words: Words, by_word: bool) -> list[bytes]:
     split = [value.replace("\n", " ").split(" ") for value in values]
     words[""] = b""
     words.learn([word for line in split for word in line])
-    words[""] = b""
+    words[""] = b""  # the cache may have been emptied
     get = words.__getitem__
     return [b"".join(map(get, line)) for line in split]
 
