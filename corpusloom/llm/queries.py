@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import (
     byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, ngram_join, quality_mil, suffix_dedup, token_orc,
 )
@@ -96,9 +97,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_orc": op9_token_orc,
     "op10_html_main_text": op10_html_main_text,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+#: Windows of ten words, compared word by word.
+_WORDS = """regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+_OP1 = f"""
+WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+iw AS (SELECT item_id, array_to_string(w[k + 1:k + 10], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM iw),
+g AS (SELECT doc_id, k, n, array_to_string(w[k + 1:k + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS k FROM d, lengths)),
+h AS (SELECT g.doc_id, g.k, g.n, iw.item_id FROM g JOIN iw USING (win, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+k AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM k LEFT JOIN n USING (vec_id)
+"""
+
+_OP6 = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 5], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+k AS (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USING (doc_id)
+"""
+
+_OP5 = """
+WITH lines AS (SELECT doc_id, p, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)),
+long AS (SELECT line, min(ROW(doc_id, p)) AS first FROM lines WHERE length(line) >= 24 GROUP BY line),
+near AS (SELECT DISTINCT b.line FROM long a JOIN long b ON a.line <> b.line AND a.first < b.first
+    AND length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND levenshtein(a.line, b.line) <= 2),
+judged AS (SELECT l.doc_id, l.p, l.line, coalesce(ROW(l.doc_id, l.p) > g.first, false) AS again, n.line IS NOT NULL AS near
+    FROM lines l LEFT JOIN long g ON l.line = g.line LEFT JOIN near n ON l.line = n.line),
+c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_copies, count(*) FILTER (near AND NOT again) AS n_near_copies,
+    coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT again AND NOT near), '') AS kept FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_copies, coalesce(n_near_copies, 0) AS n_near_copies,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN c USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_decontamination": _OP1,
+    "op3_embedding_near_dup": _OP3,
+    "op5_line_dedup": _OP5,
+    "op6_ngram_join": _OP6,
+}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
