@@ -28,7 +28,7 @@ from corpusloom.llm.common import fresh, staged
 EDITS = 2
 MIN_CHARS = 24
 #: Letters whose counts are compared, each modulo 32.
-COUNTED = "etnaorisdlh "
+COUNTED = "etnaoris"
 _BITS = 5
 
 
@@ -37,37 +37,32 @@ def _lines(docs: DataFrame, doc: str, copy: str, text: str) -> DataFrame:
     rows = docs.select(
         F.col(doc).alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
     )
-    return rows.where(F.char_length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line"))
+    measured = rows.withColumn("length", F.char_length("line")).where(F.col("length") >= MIN_CHARS)
+    return measured.withColumn("id", F.xxhash64("line"))
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a line; the last ones are one longer if it does not divide."""
-    count = edits + 1
-    base, longer = F.floor(length / count).cast("int"), length % count
-    short = F.lit(count) - longer
-    return [
-        (base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0))
-        for i in range(count)
-    ]
+    """(start, length) of each segment of a line; they differ by one at most."""
+    ends = [F.floor((length * (i + 1)) / (edits + 1)).cast("int") for i in range(edits + 1)]
+    return list(zip([F.lit(0), *ends], [ends[0], *(b - a for a, b in zip(ends, ends[1:]))]))
 
 
 def _key(length: Column, number: int, piece: Column) -> Column:
     return F.xxhash64(length, F.lit(number), piece)
 
 
-def index_keys(line: Column, edits: int) -> list[Column]:
-    length = F.char_length(line)
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return [
         _key(length, i, F.substring(line, start + 1, size)) for i, (start, size) in enumerate(_segments(length, edits))
     ]
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
+def probe_keys(line: Column, own: Column, edits: int) -> list[Column]:
     """Keys under which a line at most as long, within the edits, may be indexed.
 
     If segment i of the shorter line is the first unchanged one, at most i edits stand before it and at most edits - i
     after it, which bounds how far it has moved."""
-    own, out = F.char_length(line), []
+    out = []
     for shorter in range(edits + 1):
         length = own - shorter
         for i, (start, size) in enumerate(_segments(length, edits)):
@@ -163,13 +158,13 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """Different lines, as ids a and b, that share a segment and agree in letters; once each."""
-    letters = letter_counts(F.col("line")).alias("letters")
-
-    def keyed(keys: list[Column], name: str) -> DataFrame:
-        rows = lines.select("id", letters, F.explode(F.array(*keys)).alias("key"))
-        return rows.groupBy("key", F.col("id").alias(name)).agg(F.first("letters").alias(f"letters_{name}"))
-
-    indexed, probing = keyed(index_keys(F.col("line"), edits), "a"), keyed(probe_keys(F.col("line"), edits), "b")
+    # computed in a step of their own, or each key would measure the line again
+    measured = lines.select("id", "line", "length", letter_counts(F.col("line")).alias("letters"))
+    line, length = F.col("line"), F.col("length")
+    indexed = measured.select(F.explode(F.array(*index_keys(line, length, edits))).alias("key"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
+    indexed = indexed.groupBy("key", "a").agg(F.first("letters_a").alias("letters_a"))
+    # copies of a line meet each different line of a key once more each; Spark splits such keys when it joins
+    probing = measured.select(F.explode(F.array(*probe_keys(line, length, edits))).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
     alike = (F.col("a") != F.col("b")) & letters_agree(F.col("letters_a"), F.col("letters_b"), edits)
     pairs = indexed.join(probing, "key").where(alike)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
