@@ -36,6 +36,11 @@ EPOCHS = 12
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """The pattern also matches fractions and the like, which are no letters."""
+    return any(found[0].isalpha() for found in LETTER.finditer(text))
+
+
 class Network:
     """Embedding, filters of several widths, max pooling, softmax."""
 
@@ -177,7 +182,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
         tables = network.tables() if network else None
         for batch in slices(batches, text, 1 << 20):
             values = batch.column(text).to_pylist()
-            wanted = [bool(network and v and LETTER.search(v)) for v in values]
+            wanted = [bool(network and v and has_letter(v)) for v in values]
             windows, owner, sizes = cut([v.encode() if w else b"" for v, w in zip(values, wanted)])
             names, certainty = ["und"] * len(values), [0.0] * len(values)
             if len(windows):
