@@ -117,7 +117,7 @@ class Membership:
 
     def __init__(self, bits: int, blocks: dict[int, bytes]):
         self.bits = bits
-        self.map = np.zeros(1 << max(bits - 3, 0), np.uint8)
+        self.map = np.zeros(max(1 << max(bits - 3, 0), BLOCK_BYTES), np.uint8)
         for block, data in blocks.items():
             self.map[block * BLOCK_BYTES:block * BLOCK_BYTES + len(data)] = np.frombuffer(data, np.uint8)
 
