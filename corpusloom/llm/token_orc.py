@@ -10,7 +10,7 @@ A tokenizer's white space only separates, so a text's ids are those of its words
 the library once per task and stays in a bounded cache. `by_word=False` gives the library whole texts.
 
 Edge cases: a null text is an empty one and has only the end id. Documents with a null doc_id come last; those of
-equal doc_id follow one another by their text. An empty table gives one file without rows. Other columns of the
+equal doc_id follow one another by a hash of their text. An empty table gives one file without rows. Other columns of the
 input are not written.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_batches, slices, texts
 
 END_ID = 2
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 19
 WORDS_AT_ONCE = 1 << 11
 #: How the vocabulary marks the end of a word; signs that are a piece of their own after letters; where letters begin that a
 #: normalizer may take apart.
@@ -135,7 +135,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, files: int, end_id: i
             )
             at += int(offsets[-1])
 
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    # equal ids are told apart by a hash: ranges are found from a sample of the keys, which should be short
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     dealt = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
     (
         map_batches(dealt, run, "doc_id long, file_no int, file_start long, ids array<int>")
