@@ -135,6 +135,8 @@ def _stub_model():
         answers = []
         for request in requests:
             n = len(json.loads(request)["prompt"])
+            if n % 13 == 0:
+                raise ValueError("no answer to this one")
             kinds = {0: None, 1: "{broken", 2: f"Prompt: write {n} characters"}
             answers.append(kinds.get(n % 4, json.dumps({"response": f'"Explain {n} letters!"'})))
         return answers
@@ -149,13 +151,14 @@ _REQUEST_LENGTH = (
 )
 
 
-@query("enrich_instruction", f"""
+_ENRICHED = f"""
 SELECT doc_id, coalesce(answer, nullif(given, ''), heuristic) AS instruction,
   CASE WHEN answer IS NOT NULL THEN 'model' WHEN nullif(given, '') IS NOT NULL THEN 'template'
     ELSE 'heuristic' END AS prompt_source,
-  TRUE AS llm_generated_prompt, given AS original_instruction
-FROM (SELECT doc_id, given,
-    CASE WHEN {S.strip('x')} = '' THEN NULL WHEN n % 4 = 2 THEN 'write ' || n || ' characters.'
+  TRUE AS llm_generated_prompt, given AS original_instruction,
+  CASE WHEN failed THEN 'ValueError' END AS prompt_error
+FROM (SELECT doc_id, given, {S.strip('x')} <> '' AND n % 13 = 0 AS failed,
+    CASE WHEN {S.strip('x')} = '' OR n % 13 = 0 THEN NULL WHEN n % 4 = 2 THEN 'write ' || n || ' characters.'
       WHEN n % 4 = 3 THEN 'Explain ' || n || ' letters!' END AS answer,
     CASE WHEN {S.strip('x')} = '' THEN 'Write some code.'
       WHEN contains(lower(x), 'class ') THEN 'Write a class with the necessary methods.'
@@ -165,20 +168,39 @@ FROM (SELECT doc_id, given,
       WHEN regexp_matches(lower(x), 'try:|except') THEN 'Write code with proper error handling.'
       ELSE 'Write the necessary code implementation.' END AS heuristic
   FROM (SELECT *, {_REQUEST_LENGTH} AS n
-        FROM (SELECT doc_id, {_CODE_OR_BLANK} AS x, {_GIVEN} AS given FROM documents)))""")
-def enrich_instruction(spark, sf_dir):
+        FROM (SELECT doc_id, {_CODE_OR_BLANK} AS x, {_GIVEN} AS given FROM documents)))"""
+
+
+def _enriched(spark, sf_dir, **options):
     nothing = F.lit(None)
     metadata = F.struct(*[nothing.cast(f.dataType).alias(f.name) for f in METADATA.fields])
     rows = documents(spark, sf_dir).select(
         "doc_id", F.expr(_CODE_OR_BLANK).alias("output"), F.expr(_GIVEN).alias("instruction"),
         metadata.alias("metadata"),
     )
-    return enrich_instructions(rows, _stub_model()).select(
-        "doc_id", "instruction", "prompt_source",
+    return enrich_instructions(rows, _stub_model(), **options).select(
+        "doc_id", "instruction", "prompt_source", "prompt_error",
         "metadata.llm_generated_prompt", "metadata.original_instruction",
     )
 
 
+@query("enrich_instruction", _ENRICHED)
+def enrich_instruction(spark, sf_dir):
+    return _enriched(spark, sf_dir)
+
+
+@query("enrich_concurrency", _ENRICHED)
+def enrich_concurrency(spark, sf_dir):
+    """Three calls in flight; the same rows."""
+    return _enriched(spark, sf_dir, concurrency=3)
+
+
+@query("enrich_interval", _ENRICHED)
+def enrich_interval(spark, sf_dir):
+    """One request at a time, with a pause between them; the same rows."""
+    return _enriched(spark, sf_dir, concurrency=8, min_interval=0.001)
+
+
 # --- sources and sinks ----------------------------------------------------------------
 def _document_dataset(spark, sf_dir):
     """One record per document; every second one has a partial metadata."""

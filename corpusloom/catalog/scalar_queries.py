@@ -225,16 +225,11 @@ def to_messages(spark, sf_dir):
 
 
 @query("chatml_render", """
-SELECT conv_id, turn // 4096 AS chunk,
-  string_agg(part, chr(10) ORDER BY turn, last) AS text
-FROM (
-  SELECT conv_id, turn, 0 AS last,
-    '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS part
-  FROM conversations WHERE role IN ('system', 'user', 'assistant')
-  UNION ALL
-  SELECT conv_id, max(turn), 1, '<|im_start|>assistant' || chr(10)
-  FROM conversations GROUP BY conv_id)
-GROUP BY conv_id, turn // 4096""")
+SELECT conv_id, coalesce(string_agg(part, chr(10) ORDER BY turn) || chr(10), '')
+  || '<|im_start|>assistant' || chr(10) AS text
+FROM (SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant')
+    THEN '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' END AS part FROM conversations)
+GROUP BY conv_id""")
 def chatml_render(spark, sf_dir):
     return render_conversations(table(spark, sf_dir, "conversations"))
 
@@ -250,21 +245,21 @@ _SPEC = """'{{' || CASE WHEN o_orderkey % 5 = 0 THEN '"ui": {{}}' ELSE
      WHEN o_orderkey % 4 = 2 THEN ', "api": {{"base_path": "/v' || o_orderstatus || '"}}' ELSE '' END
   || CASE WHEN o_orderkey % 5 = 1 THEN ', "ui": {{"framework": "vue", "routes": ["/"]}}' ELSE '' END
   || CASE WHEN o_orderkey % 2 = 1 THEN ', "persistence": {{"driver": "sqlite"}}' ELSE '' END
-  || '}}'"""
+  || CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE '}}' END"""
 
 
 @query("spec_profile", f"""
-SELECT o_orderkey, coalesce(s ->> '$.module.name', 'unknown') AS module_name,
-  coalesce(array_to_string(list_transform(CAST(s -> '$.entities' AS JSON[]),
+SELECT o_orderkey, CASE WHEN s IS NOT NULL THEN coalesce(s ->> '$.module.name', 'unknown') END AS module_name,
+  CASE WHEN s IS NOT NULL THEN coalesce(array_to_string(list_transform(CAST(s -> '$.entities' AS JSON[]),
     lambda e: coalesce(e ->> '$.name', 'Unknown') || ' with '
-      || coalesce(json_array_length(e, '$.fields'), 0) || ' fields'), '; '), '') AS entities,
-  coalesce(s ->> '$.api.style', 'rest') AS api_style,
-  coalesce(s ->> '$.api.base_path', '/api') AS base_path,
-  CAST(coalesce(json_array_length(s, '$.api.endpoints'), 0) AS INTEGER) AS endpoints_count,
-  coalesce(s ->> '$.ui.framework', 'react') AS ui_framework,
-  CAST(coalesce(json_array_length(s, '$.ui.routes'), 0) AS INTEGER) AS routes_count,
-  coalesce(s ->> '$.persistence.driver', 'postgres') AS persistence
-FROM (SELECT o_orderkey, CAST({_SPEC.format(text='VARCHAR')} AS JSON) AS s FROM orders)""")
+      || coalesce(json_array_length(e, '$.fields'), 0) || ' fields'), '; '), '') END AS entities,
+  CASE WHEN s IS NOT NULL THEN coalesce(s ->> '$.api.style', 'rest') END AS api_style,
+  CASE WHEN s IS NOT NULL THEN coalesce(s ->> '$.api.base_path', '/api') END AS base_path,
+  CASE WHEN s IS NOT NULL THEN CAST(coalesce(json_array_length(s, '$.api.endpoints'), 0) AS INTEGER) END AS endpoints_count,
+  CASE WHEN s IS NOT NULL THEN coalesce(s ->> '$.ui.framework', 'react') END AS ui_framework,
+  CASE WHEN s IS NOT NULL THEN CAST(coalesce(json_array_length(s, '$.ui.routes'), 0) AS INTEGER) END AS routes_count,
+  CASE WHEN s IS NOT NULL THEN coalesce(s ->> '$.persistence.driver', 'postgres') END AS persistence
+FROM (SELECT o_orderkey, TRY_CAST({_SPEC.format(text='VARCHAR')} AS JSON) AS s FROM orders)""")
 def spec_profile(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.expr(_SPEC.format(text="string")).alias("s")

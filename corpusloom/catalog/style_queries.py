@@ -173,12 +173,13 @@ profile AS (
       AS style_context
   FROM (SELECT repo, {of('functions')} AS f, {of('classes')} AS c, {of('variables')} AS v,
           {of('indentation')} AS i, {of('docstrings')} AS d FROM best GROUP BY repo)
-  FULL JOIN measured USING (repo))"""
+  FULL JOIN measured USING (repo) RIGHT JOIN (SELECT DISTINCT repo FROM sample) USING (repo))"""
 
 
 def sampled_profile(spark, sf_dir):
     files = select_files(code_files(spark, sf_dir))
-    return style_profile(style_counts(profile_sample(files)))
+    sample = profile_sample(files)
+    return style_profile(style_counts(sample), sample)
 
 
 @query("preferred_style", f"""WITH {profile_cte()}
@@ -206,7 +207,7 @@ def preferred_line_length_query(spark, sf_dir):
 SELECT repo, style_context, analyzed_files FROM profile JOIN analyzed USING (repo)""")
 def style_context_query(spark, sf_dir):
     sample = profile_sample(select_files(code_files(spark, sf_dir)))
-    profile = style_profile(style_counts(sample)).select("repo", "style_context")
+    profile = style_profile(style_counts(sample), sample).select("repo", "style_context")
     return profile.join(analyzed_files(sample), "repo")
 
 

@@ -9,7 +9,7 @@ from corpusloom.schemas import MODULE_SPEC
 
 
 def spec_profile(json_text: Column) -> Column:
-    """Struct of names, counts and defaults; absent parts take the default."""
+    """Struct of names, counts and defaults; absent parts take the default. NULL for text that is no JSON object."""
     spec = F.from_json(json_text, MODULE_SPEC)
     d = K.SPEC_DEFAULTS
 
@@ -26,7 +26,7 @@ def spec_profile(json_text: Column) -> Column:
             size(e["fields"]).cast("string"), F.lit(" fields"),
         ),
     )
-    return F.struct(
+    profile = F.struct(
         default(spec["module"]["name"], "module_name").alias("module_name"),
         entities.alias("entities"),
         default(spec["api"]["style"], "api_style").alias("api_style"),
@@ -36,3 +36,5 @@ def spec_profile(json_text: Column) -> Column:
         size(spec["ui"]["routes"]).alias("routes_count"),
         default(spec["persistence"]["driver"], "persistence").alias("persistence"),
     )
+    parsed = F.try_parse_json(json_text)
+    return F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), profile)

@@ -179,8 +179,10 @@ def style_context(functions, classes, indentation, line_length, docstrings) -> C
     return F.when(text == "", K.DEFAULT_STYLE_CONTEXT).otherwise(text)
 
 
-def style_profile(counts: DataFrame) -> DataFrame:
-    """One row per repository, with its `style_context`."""
+def style_profile(counts: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """One row per repository, with its `style_context`.
+
+    `repositories` (with a column `repo`) adds those of which no style is known."""
     rows = counts.groupBy("repo").agg(
         preferred("functions").alias("functions_preferred"),
         preferred("classes").alias("classes_preferred"),
@@ -192,6 +194,8 @@ def style_profile(counts: DataFrame) -> DataFrame:
         _of_lines("over_80").alias("over_80"),
         _of_lines("over_100").alias("over_100"),
     )
+    if repositories is not None:
+        rows = repositories.select("repo").distinct().join(rows, "repo", "left")
     limit = preferred_line_length(F.col("n_lines"), F.col("over_80"), F.col("over_100"))
     return (
         rows.withColumn("avg_line_length",

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.chat import ASSISTANT_OPENER, chatml_turn
 
-TURNS_PER_ROW = 4096
 
+def _parts(turns: DataFrame) -> DataFrame:
+    """One row per rendered turn; turns with other roles have no part, turns without text an empty one."""
+    part = chatml_turn(F.col("role"), F.coalesce(F.col("text"), F.lit("")))
+    return turns.select("conv_id", "turn", part.alias("part"))
 
-def render_conversations(turns: DataFrame, turns_per_row: int = TURNS_PER_ROW) -> DataFrame:
-    """`conv_id, chunk, text`; joining a conversation's chunks with a newline
-    gives its prompt, which ends by opening the assistant's answer.
 
-    `(conv_id, turn)` is unique, so a chunk has at most `turns_per_row` turns
-    and a conversation of any length is spread over many groups.
+def _joined(ordered) -> Column:
+    return F.array_join(F.transform(F.array_sort(ordered), lambda r: r["part"]), "\n")
+
+
+def render_conversations(turns: DataFrame) -> DataFrame:
+    """`conv_id, text`: one prompt per conversation, which ends by opening the assistant's answer.
+
+    One pass over the table. A row holds a whole conversation, as its prompt does; for conversations too long for a row
+    there is `render_chunks`.
     """
-    chunk = F.floor(F.col("turn") / F.lit(turns_per_row))
-    parts = turns.select(
-        "conv_id", "turn", F.lit(0).alias("after"),
-        chatml_turn(F.col("role"), F.col("text")).alias("part"),
-    )
-    openers = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(
-        "conv_id", "turn", F.lit(1).alias("after"), F.lit(ASSISTANT_OPENER).alias("part")
-    )
-    # turns with other roles have no part, but must not lose their conversation
-    rows = parts.where(F.col("part").isNotNull()).unionByName(openers)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "after", "part")))
-    return rows.groupBy("conv_id", chunk.alias("chunk")).agg(
-        F.array_join(F.transform(ordered, lambda r: r["part"]), "\n").alias("text")
+    # a null part is skipped by the aggregate, but its conversation is not
+    kept = F.when(F.col("part").isNotNull(), F.struct("turn", "part"))
+    body = _joined(F.collect_list(kept))
+    return _parts(turns).groupBy("conv_id").agg(body.alias("body")).select(
+        "conv_id", F.concat(F.when(F.col("body") != "", F.concat("body", F.lit("\n"))).otherwise(""), F.lit(ASSISTANT_OPENER))
+        .alias("text"),
     )
+
+
+def render_chunks(turns: DataFrame, turns_per_row: int) -> DataFrame:
+    """`conv_id, chunk, text` with `turns_per_row` values of `turn` in a row: the prompt in parts, for conversations of any length.
+
+    Joining a conversation's chunks with a newline and appending the opener gives its prompt.
+    """
+    chunk = F.floor(F.col("turn") / F.lit(turns_per_row))
+    rows = _parts(turns).where(F.col("part").isNotNull())
+    return rows.groupBy("conv_id", chunk.alias("chunk")).agg(_joined(F.collect_list(F.struct("turn", "part"))).alias("text"))

@@ -11,7 +11,7 @@ from corpusloom import DatasetConfig, build_dataset, training_text
 from corpusloom.operators.enrich import enrich_instructions
 from corpusloom.operators.files import select_files
 from corpusloom.operators.summary import dataset_summary
-from corpusloom.plans.chat import render_conversations
+from corpusloom.plans.chat import render_chunks, render_conversations
 from corpusloom.schemas import METADATA
 from corpusloom.sources import codefiles, jsonl
 from corpusloom.sources.staging import stage
@@ -152,15 +152,33 @@ def test_model_is_asked_for_final_examples_only(spark, corpus, tmp_path):
     assert rows[0].messages[1].content.startswith("Describe this piece of code.\n\nContext: ")
 
 
-def test_conversations_in_chunks(spark):
-    turns = [("c", i, ("user", "assistant", "tool")[i % 3], f"t{i}") for i in range(50)]
-    frame = spark.createDataFrame(turns + [("d", 0, "tool", "x")],
+def test_conversations(spark):
+    turns = [("c", i * 10**6, ("user", "assistant", "tool")[i % 3], f"t{i}") for i in range(50)]
+    frame = spark.createDataFrame(turns + [("d", 0, "tool", "x"), ("e", 1, "user", None)],
                                   "conv_id string, turn bigint, role string, text string")
-    whole = {r.conv_id: r.text for r in render_conversations(frame).collect()}
-    chunks = render_conversations(frame.repartition(3), turns_per_row=7).where("conv_id = 'c'")
+    whole = {r.conv_id: r.text for r in render_conversations(frame.repartition(3)).collect()}
+    chunks = render_chunks(frame.repartition(3), turns_per_row=7 * 10**6).where("conv_id = 'c'")
     parts = [r.text for r in chunks.orderBy("chunk").collect()]
-    assert len(parts) == 8 and "\n".join(parts) == whole["c"]
-    assert whole["d"] == "<|im_start|>assistant\n" and "t2<" not in whole["c"]
+    opener = "<|im_start|>assistant\n"
+    assert len(parts) == 8 and "\n".join([*parts, opener]) == whole["c"] and "t2<" not in whole["c"]
+    assert whole["d"] == opener and whole["e"] == f"<|im_start|>user\n<|im_end|>\n{opener}"
+
+
+def test_one_failing_request_costs_no_other(spark):
+    def infer(requests):
+        if any("QQ7" in r for r in requests):
+            raise KeyError("no answer")
+        return ["Prompt: say something useful"] * len(requests)
+
+    rows = enrich_instructions(examples(spark, *[(i, f"QQ{i} ", "given") for i in range(9)]), infer).collect()
+    assert {r.i for r in rows if r.prompt_source == "template"} == {7}
+    assert {r.i: r.prompt_error for r in rows if r.prompt_error} == {7: "KeyError"}
+
+
+def test_profile_of_repositories_without_facts(spark, files):
+    frame = files(("r/a.py", PY), ("s/b.py", "def broken(:\n" + "#" * 200))
+    rows = {r.repo: r for r in corpusloom.build_style_profile(frame).collect()}
+    assert rows["s"].style_context == "Standard conventions" and rows["r"].style_context != "Standard conventions"
 
 
 def test_summary(corpus):
