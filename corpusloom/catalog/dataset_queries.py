@@ -24,6 +24,7 @@ from corpusloom.schemas import METADATA
 from corpusloom.sources import codefiles, jsonl
 from corpusloom.sources.staging import fresh_path
 
+CAPPED = 1200
 _JS_FUNCTIONS = ExtractorRegistry(
     extensions=DEFAULT_REGISTRY.extensions,
     kinds=tuple(k for k in DEFAULT_REGISTRY.kinds if k.kind == "javascript_function"),
@@ -43,7 +44,7 @@ def _flat(dataset):
 
 
 # --- the smallest whole pipeline: JavaScript functions --------------------------
-def _chain(units: str, k: int) -> str:
+def _chain(units: str, k: int | None = None) -> str:
     """CTEs from `units`: deduplicated, filtered, flagged, ranked -> `final`."""
     return f"""
 hashed AS (SELECT *, row_number() OVER (PARTITION BY repo, {S.code_hash('code')}
@@ -51,7 +52,7 @@ hashed AS (SELECT *, row_number() OVER (PARTITION BY repo, {S.code_hash('code')}
 good AS (SELECT *, {S.DERIVED_METADATA} FROM hashed
   WHERE copy = 1 AND {S.passes_quality('code', 'name')}),
 flagged AS (SELECT *, {S.priority('has_docstring', 'naming_style')} AS priority FROM good),
-final AS (SELECT * FROM (SELECT *, {_RANKED} AS rank FROM flagged) WHERE rank <= {k})"""
+final AS (SELECT * FROM (SELECT *, {_RANKED} AS rank FROM flagged){f' WHERE rank <= {k}' if k else ''})"""
 
 
 _NO_PYTHON = ("NULL::VARCHAR AS doc, NULL::VARCHAR AS others, NULL::INTEGER AS args, "
@@ -61,7 +62,7 @@ _NO_PYTHON = ("NULL::VARCHAR AS doc, NULL::VARCHAR AS others, NULL::INTEGER AS a
 @query("js_dataset", f"""
 WITH {files_cte('.js', '.ts')},
 units AS (SELECT *, pos AS seq, {_NO_PYTHON} FROM ({S.kept_units('javascript_function')})),
-{_chain('units', K.MAX_EXAMPLES)}
+{_chain('units')}
 SELECT repo || '#' || path || '#' || seq AS example_id, repo, CAST(rank AS INTEGER) AS rank,
   {S.user_content(S.instruction(), S.context(q(K.DEFAULT_STYLE_CONTEXT)))} AS user,
   code AS assistant, {_METADATA_SQL}
@@ -70,7 +71,7 @@ def js_dataset(spark, sf_dir):
     """Files -> functions -> dedup -> quality -> best -> messages, all native."""
     files = select_files(code_files(spark, sf_dir, ".js", ".ts"))
     unique = dedup_first(extract_examples(files, _JS_FUNCTIONS))
-    best = best_examples(with_priority(quality_filter(unique)), K.MAX_EXAMPLES)
+    best = best_examples(with_priority(quality_filter(unique)))
     context = F.concat("context_prefix", F.coalesce("context_suffix", F.lit(K.DEFAULT_STYLE_CONTEXT)))
     return _flat(best.select(
         F.concat_ws("#", "repo", "path", "seq").alias("example_id"), "repo", "rank",
@@ -79,7 +80,11 @@ def js_dataset(spark, sf_dir):
 
 
 # --- the whole pipeline ----------------------------------------------------------
-def _dataset_sql(select: str, k: int = K.MAX_EXAMPLES) -> str:
+def _dataset_sql(select: str, k: int | None = None) -> str:
+    if k is None:
+        return _with_profile("").rstrip() + f""",
+{_chain('units')}
+{select}"""
     return _with_profile("").rstrip() + f""",
 capped AS (SELECT repo, path FROM (
   SELECT repo, path, coalesce(sum(n) OVER (PARTITION BY repo ORDER BY ext_rank, path
@@ -102,6 +107,12 @@ def code_dataset(spark, sf_dir):
     return _flat(build_dataset(code_files(spark, sf_dir)))
 
 
+@query("code_dataset_capped", _dataset_sql(_STYLED_FINAL, CAPPED))
+def code_dataset_capped(spark, sf_dir):
+    """A cap on raw units and a limit of as many examples."""
+    return _flat(build_dataset(code_files(spark, sf_dir), DatasetConfig(max_examples=CAPPED)))
+
+
 @query("training_text", _dataset_sql(f"""SELECT
   '<|im_start|>system' || {S.NL} || {q(K.SYSTEM_MESSAGE)} || '<|im_end|>' || {S.NL}
   || '<|im_start|>user' || {S.NL} || user || '<|im_end|>' || {S.NL}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.sources.staging import stage
+
 # groups are spread over this many tasks when map-side pruning does not apply
 SALTS = 64
 
@@ -48,3 +50,24 @@ def top_k_per_group(
 def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """First row of every key in the given order; all columns kept."""
     return top_k_per_group(df, keys, order, 1, rank="_first").drop("_first")
+
+
+def rank_all(df: DataFrame, keys: list[str], order: list[str | Column], rank: str = "rank") -> DataFrame:
+    """Every row with its exact rank in its group, however large a group is.
+
+    Rows are range partitioned on keys and order and written once, sorted.  A
+    rank is the place in the partition plus what earlier partitions hold of
+    the group, so no task sees more of a group than one range.  The order must
+    be total inside a group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # the low bits of the id count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stage(dealt.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ranked")
+    held = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    exact = (F.col("_place") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return placed.join(offsets, [*keys, "_part"]).withColumn(rank, exact).drop("_part", "_place", "_first", "_before")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom import constants as K
 from corpusloom.functions.naming import naming_style
 from corpusloom.functions.text import code_hash, line_count, nonblank_line_count
-from corpusloom.operators.ranking import first_per_key, top_k_per_group
+from corpusloom.operators.ranking import first_per_key, rank_all, top_k_per_group
 
 EXAMPLE_ORDER = ("ext_rank", "path", "seq")
 
@@ -86,9 +86,11 @@ def quality_order(metadata: str = "metadata") -> list[Column]:
     ]
 
 
-def best_examples(examples: DataFrame, k: int) -> DataFrame:
-    """The k best examples of each repository, with their `rank`."""
+def best_examples(examples: DataFrame, k: int | None = None) -> DataFrame:
+    """The k best examples of each repository, or all of them, with their `rank`."""
     order = [*quality_order(), *[F.col(c).asc() for c in EXAMPLE_ORDER]]
+    if k is None:
+        return rank_all(examples, ["repo"], order)
     return top_k_per_group(
         examples, ["repo"], order, k, rank="rank", salt_columns=["path", "seq"]
     )

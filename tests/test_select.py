@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranking import top_k_per_group
+from corpusloom.operators.ranking import rank_all, top_k_per_group
 from corpusloom.operators.select import (
     attach_style, dedup_first, exclude_names, files_within_cap, group_preview, is_generic_name,
     matches_style, passes_quality, with_priority, best_examples,
@@ -165,3 +165,12 @@ def test_normal_form_is_idempotent(spark):
     frame = spark.createDataFrame([(" a\n\n#b\n c",), ("",)], "t string")
     once = frame.select(normalize_code(F.col("t")).alias("t"))
     assert once.select(normalize_code(F.col("t")).alias("t")).collect() == once.collect()
+
+
+def test_rank_of_all_rows_of_one_group(spark):
+    frame = spark.range(5000).select(
+        F.when(F.col("id") % 50 == 0, "small").otherwise("big").alias("repo"), (F.col("id") * 7919 % 5003).alias("x"))
+    rows = rank_all(frame.repartition(3), ["repo"], [F.col("x").desc()]).collect()
+    for repo in ("small", "big"):
+        own = sorted((r for r in rows if r.repo == repo), key=lambda r: -r.x)
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
