@@ -31,13 +31,14 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
-def compare(spark: SparkSession, sf_dir: str, name: str) -> str | None:
+def compare(spark: SparkSession, sf_dir: str, name: str, queries=None, sql=None) -> str | None:
     """None when equal, else what differs."""
-    got_frame = QUERIES[name](spark, sf_dir)
+    queries, sql = queries or QUERIES, sql or SQL
+    got_frame = queries[name](spark, sf_dir)
     columns = got_frame.columns
     rows = [tuple(r) for r in got_frame.collect()]
     got = canonical(pd.DataFrame(rows, columns=columns, dtype=object))
-    relation = duck(sf_dir).execute(SQL[name])
+    relation = duck(sf_dir).execute(sql[name])
     names = [d[0] for d in relation.description]
     want = canonical(pd.DataFrame(relation.fetchall(), columns=names, dtype=object))
     if list(got.columns) != list(want.columns):

@@ -3,13 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
-from corpusloom.catalog import check
+from corpusloom.catalog import all_queries, all_sql, check
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
@@ -18,12 +19,12 @@ def test_entry_has_rows(spark):
     assert frame.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     assert check.compare(spark, sf_dir, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(all_sql())))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
 
