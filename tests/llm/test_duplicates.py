@@ -300,7 +300,7 @@ def test_shard_far_larger_than_memory():
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf_dir, name):
-    assert check.compare(spark, sf_dir, name) is None
+    assert check.compare(spark, sf_dir, name, queries.QUERIES, queries.SQL) is None
 
 
 def test_passage_query(spark, sf_dir):
