@@ -11,7 +11,6 @@ from corpusloom.catalog.registry import query
 from corpusloom.catalog.scalar_queries import _CODE, documents
 from corpusloom.catalog.select_queries import _RANKED, _with_profile
 from corpusloom.functions.chat import to_messages
-from corpusloom.functions.naming import naming_style
 from corpusloom.functions.text import line_count
 from corpusloom.operators.enrich import enrich_instructions
 from corpusloom.operators.files import select_files

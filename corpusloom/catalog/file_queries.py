@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import constants as K
-from corpusloom.catalog import sql as S
 from corpusloom.catalog.corpus import code_files, files_cte, q
 from corpusloom.catalog.registry import query
 from corpusloom.catalog.scalar_queries import documents, path_expr

@@ -26,3 +26,12 @@ class PatternKind:
     context: str | None = None
     spark_pattern: str | None = None
     keep: Callable[[Column], Column] | None = field(default=None, compare=False)
+
+
+@dataclass(frozen=True)
+class FunctionKind:
+    """A kind of code unit that a language's function yields: how its examples are asked for."""
+
+    kind: str
+    instruction: str = "Write code named "
+    context: str | None = None

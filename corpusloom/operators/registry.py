@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, functions as F
 
 from corpusloom import constants as K
-from corpusloom.operators.kinds import PatternKind
+from corpusloom.operators.kinds import FunctionKind, PatternKind
 from corpusloom.operators.python_units import python_units
 from corpusloom.operators.regex_units import DEFAULT_KINDS
 
@@ -24,6 +24,7 @@ class ExtractorRegistry:
     extensions: tuple[tuple[str, str], ...]
     kinds: tuple[PatternKind, ...]
     functions: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+    function_kinds: tuple[FunctionKind, ...] = ()
 
     def with_extension(self, ext: str, language: str) -> "ExtractorRegistry":
         return replace(self, extensions=self.extensions + ((ext, language),))
@@ -31,8 +32,12 @@ class ExtractorRegistry:
     def with_pattern(self, kind: PatternKind) -> "ExtractorRegistry":
         return replace(self, kinds=self.kinds + (kind,))
 
-    def with_function(self, language: str, fn: Callable[[Column], Column]) -> "ExtractorRegistry":
-        return replace(self, functions=self.functions + ((language, fn),))
+    def with_function(self, language: str, fn: Callable[[Column], Column],
+                      kinds: tuple[FunctionKind, ...] = ()) -> "ExtractorRegistry":
+        """`kinds` describes the kinds of units that `fn` yields; others are asked for by name."""
+        return replace(
+            self, functions=self.functions + ((language, fn),), function_kinds=self.function_kinds + tuple(kinds)
+        )
 
     def extension_map(self) -> Column:
         """Literal map extension -> (language, ext_rank)."""

@@ -14,6 +14,7 @@ from corpusloom.functions.naming import (
     function_instruction, naming_style,
 )
 from corpusloom.functions.text import line_count, short_path
+from corpusloom.operators.kinds import FunctionKind
 from corpusloom.operators.python_units import UNITS
 from corpusloom.operators.regex_units import match_units
 from corpusloom.operators.registry import DEFAULT_REGISTRY, ExtractorRegistry
@@ -133,7 +134,7 @@ def explode_errors(parsed: DataFrame) -> DataFrame:
 
 def _by_kind(registry: ExtractorRegistry, attribute) -> Column:
     kinds = F.create_map(*[
-        c for k in registry.kinds for c in (F.lit(k.kind), F.lit(attribute(k)))
+        c for k in (*registry.kinds, *registry.function_kinds) for c in (F.lit(k.kind), F.lit(attribute(k)))
     ])
     return F.element_at(kinds, F.col("kind"))
 
@@ -154,7 +155,8 @@ def to_examples(units: DataFrame, registry: ExtractorRegistry = DEFAULT_REGISTRY
         F.when(is_function, function_instruction(name, doc))
         .when(is_class, class_instruction(name, doc, F.col("methods")))
         .when(is_documented, K.DOCUMENTED_FUNCTION_INSTRUCTION)
-        .otherwise(F.concat(_by_kind(registry, lambda k: k.instruction), name))
+        .otherwise(F.concat(
+            F.coalesce(_by_kind(registry, lambda k: k.instruction), F.lit(FunctionKind.instruction)), name))
     )
     file_prefix = F.concat(F.lit("File: "), F.substring_index("path", "/", -1), F.lit(" | "))
     prefix = F.when(

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import constants as K
 from corpusloom.functions import chat, naming, spec, text
 
 
@@ -149,3 +150,20 @@ def test_spec_defaults(spark):
     assert row.asDict() == {
         "module_name": "unknown", "entities": [], "api_style": "rest", "base_path": "/api",
         "endpoints_count": 0, "ui_framework": "react", "routes_count": 0, "persistence": "postgres"}
+
+
+def test_fixed_values():
+    """As written down once more: a slip in the constants would be the same in the SQL."""
+    assert (K.MIN_FILE_BYTES, K.MAX_FILE_BYTES, K.PROFILE_FILES, K.MAX_EXAMPLES) == (100, 100_000, 50, 5000)
+    assert (K.MIN_UNIT_LINES, K.MAX_UNIT_LINES, K.MAX_PYTHON_FUNCTION_LINES, K.MIN_NONBLANK_LINES) == (3, 100, 50, 2)
+    assert set(K.GENERIC_NAMES) == {"test", "temp", "tmp", "foo", "bar", "example", "demo"}
+    assert set(K.PREFERRED_NAMING) == {"snake_case", "camelCase", "PascalCase"} and K.MAX_COMPLEXITY == 20
+    assert sorted(K.COMPLEXITY_KEYWORDS) == [
+        "case", "class", "def", "except", "for", "function", "if", "switch", "try", "while", "with"]
+    assert len(K.IGNORED_PATH_PARTS) == 16 and K.DEFAULT_STYLE_CONTEXT == "Standard conventions"
+
+
+def test_broken_specs_have_no_profile(spark):
+    rows = spark.createDataFrame([("{bad",), (None,), ("[1]",), ("3",), ("{}",)], "s string")
+    got = {r.s: r.p for r in rows.select("s", spec.spec_profile(F.col("s")).alias("p")).collect()}
+    assert [k for k, v in got.items() if v is not None] == ["{}"]

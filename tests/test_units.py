@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as K
 from corpusloom.operators.files import select_files
-from corpusloom.operators.kinds import PatternKind
+from corpusloom.operators.kinds import FunctionKind, PatternKind
 from corpusloom.operators.regex_units import DEFAULT_KINDS, match_units
 from corpusloom.operators.registry import DEFAULT_REGISTRY
 from corpusloom.operators.units import explode_errors, extract_examples, parse_files
@@ -223,8 +223,13 @@ def test_own_function(files):
             null.cast("int").alias("method_count"), null.cast("array<string>").alias("methods"),
             null.cast("string").alias("error"))))
 
-    registry = DEFAULT_REGISTRY.with_extension(".txt", "text").with_function("text", first_line)
+    registry = DEFAULT_REGISTRY.with_extension(".txt", "text").with_function(
+        "text", first_line, kinds=[FunctionKind("note", "Write a note named ", "Notes")])
     table = files(("r/a.txt", f"hello\n{PAD}"), ("r/b.go", f"// {PAD}\ntype A struct {{}}"))
     got = extract_examples(select_files(table, registry), registry).orderBy("path").collect()
     assert [(r.metadata.type, r.output) for r in got] == [
         ("note", "hello"), ("go_struct", "type A struct {}")]
+    assert (got[0].instruction, got[0].context_suffix) == ("Write a note named n", "Notes")
+    plain = DEFAULT_REGISTRY.with_extension(".txt", "text").with_function("text", first_line)
+    row, = extract_examples(select_files(files(("r/a.txt", f"hello\n{PAD}")), plain), plain).collect()
+    assert row.instruction == "Write code named n"
