@@ -27,9 +27,9 @@ from corpusloom.llm.common import fresh, staged
 
 EDITS = 2
 MIN_CHARS = 24
-#: Letters whose counts are compared, each modulo 32.
-COUNTED = "etnaoris"
-_BITS = 5
+#: Letters whose counts are compared, each modulo 16.
+COUNTED = "etnaorisdlhugcm "
+_BITS = 4
 
 
 def _lines(docs: DataFrame, doc: str, copy: str, text: str) -> DataFrame:
@@ -74,7 +74,7 @@ def probe_keys(line: Column, own: Column, edits: int) -> list[Column]:
 def letter_counts(line: Column) -> Column:
     """Counts of some letters, packed."""
     parts = [
-        F.shiftleft(((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))) % 32).cast("long"), i * _BITS)
+        F.shiftleft(((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))) % (1 << _BITS)).cast("long"), i * _BITS)
         for i, c in enumerate(COUNTED)
     ]
     total = parts[0]
@@ -87,9 +87,9 @@ def letters_agree(a: Column, b: Column, edits: int) -> Column:
     """False only if the counts alone prove more than `edits` edits."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        mask = F.lit(31).cast("long")
+        mask = F.lit((1 << _BITS) - 1).cast("long")
         gap = F.abs(F.shiftright(a, i * _BITS).bitwiseAND(mask) - F.shiftright(b, i * _BITS).bitwiseAND(mask))
-        total = total + F.least(gap, F.lit(32) - gap)
+        total = total + F.least(gap, F.lit(1 << _BITS) - gap)
     return total <= 2 * edits
 
 
