@@ -311,7 +311,6 @@ def test_passage_query(spark, sf_dir):
 
 def test_pipeline(spark, sf_dir):
     docs, seen = table(spark, sf_dir, "documents"), {}
-    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "ngram_join", "decontaminate", "byte_bpe"]
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
@@ -321,7 +320,9 @@ def test_pipeline(spark, sf_dir):
         seen[name] = (before, {r.doc_id: r.asDict() for r in out.collect()})
         docs = corpus_pipeline.staged(out, "test")
     before, after = seen["quality"]
-    assert all((d in after) == (labels[d] == 1) for d in before if d in labels)
+    # the stage does as the classifier says; how well it learns is tested on more labels in test_texts
+    predicted = {r.doc_id for r in queries.QUERIES["op2_quality"](spark, sf_dir).collect() if r.predicted == 1}
+    assert set(after) == predicted and set(after) < set(before)
     before, after = seen["line_dedup"]
     expected = dict(lines_by_hand(sorted(before.items())))
     assert {d: r["text"] for d, r in after.items()} == {
