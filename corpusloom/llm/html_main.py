@@ -2,10 +2,11 @@
 
 Each page's element subtrees are hashed. Spark counts, per host, on how many pages of different content a
 subtree stands, and subtrees on many pages are templates: they are deleted with all they hold. Elements whose tag, role,
-class or id says that they are no article (menus, forms, comments ...) are deleted as well. If a page has `article` (or
-else `main`) elements, only what is in them is text, and a recurring paragraph, heading or list there stays:
-only recurring containers (div, section, table ...) within an article can be templates. Copies of one page count as one page,
-so a copied article is no template.
+class or id says that they are no article (menus, forms, comments ...) are deleted as well. If a page has `article` or
+`main` elements outside of deleted ones, only what is in any of them is text, unless nothing is left there: then the whole page
+counts. A recurring paragraph, heading or list in an article, or in a main without articles, stays: only recurring containers
+(div, section, table ...) can be templates there. Copies of one page, or of one article on several pages, count as one page, so
+a copied article is no template.
 
 Rows are counted in Spark with map-side combining; a page's own templates come back by a join on the host and the
 hash of the page, never through the driver.
@@ -99,14 +100,16 @@ class Page:
 
     def __init__(self, source: str):
         self.fragments: list[str | None] = []
-        #: first fragment, past the last, hash, tag
-        self.candidates: list[tuple[int, int, int, str]] = []
+        #: first fragment, past the last, hash, content it belongs to (None: the page's)
+        self.candidates: list[tuple[int, int, int, int | None]] = []
         self.dropped: list[tuple[int, int]] = []
         self.articles: list[tuple[int, int, int]] = []
         self.mains: list[tuple[int, int, int]] = []
-        # open elements: tag, first fragment, hash so far, boilerplate, articles or mains begun before
+        # open elements: tag, first fragment, hash so far, boilerplate, articles and mains ended before, whether in one of
+        # them, candidates before, those of them that count only if the main has an article
         self._open: list[list] = []
-        self._inside = 0
+        self._inside = self._articles = self._hidden = 0
+        self._outside_articles: list[int] = []
         self._root = blake2b(digest_size=8)
         at = 0
         while True:
@@ -136,13 +139,15 @@ class Page:
         self.content = int.from_bytes(self._content(), "little", signed=True)
 
     def _content(self) -> bytes:
-        """Hash of the article, or of the whole page without one."""
-        regions = self.articles or self.mains
+        """Hash of the outermost articles and mains, or of the whole page without one."""
+        regions = sorted(self.articles + self.mains, key=lambda r: (r[0], -r[1]))
         if not regions:
             return self._root.digest()
-        out = blake2b(digest_size=8)
-        for *_, number in regions:
-            out.update(number.to_bytes(8, "little", signed=True))
+        out, end = blake2b(digest_size=8), -1
+        for first, past, number in regions:
+            if past > end:
+                out.update(number.to_bytes(8, "little", signed=True))
+                end = past
         return out.digest()
 
     def _text(self, raw: str) -> None:
@@ -163,9 +168,15 @@ class Page:
         inside = self._inside > 0
         state = blake2b(tag.encode(), digest_size=8)
         boilerplate = _is_boilerplate(tag, attributes, inside)
-        self._open.append([tag, len(self.fragments), state, boilerplate, len(self.articles) + len(self.mains), inside])
-        if tag in ("article", "main") and not boilerplate:
+        self._open.append([
+            tag, len(self.fragments), state, boilerplate, len(self.articles), len(self.mains), inside, len(self.candidates),
+            len(self._outside_articles),
+        ])
+        if boilerplate:
+            self._hidden += 1
+        elif tag in ("article", "main"):
             self._inside += 1
+            self._articles += tag == "article"
 
     def _close_within(self, tags: set[str], fence: set[str]) -> None:
         for depth in range(len(self._open) - 1, -1, -1):
@@ -189,7 +200,7 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, first, state, boilerplate, begun, inside = self._open.pop()
+        tag, first, state, boilerplate, articles, mains, inside, begun, outside = self._open.pop()
         past = len(self.fragments)
         if tag in BLOCKS:
             self.fragments.append(None)
@@ -197,21 +208,32 @@ class Page:
         (self._open[-1][2] if self._open else self._root).update(digest)
         number = int.from_bytes(digest, "little", signed=True)
         if boilerplate:
+            self._hidden -= 1
             self.dropped.append((first, past))
         elif tag in ("article", "main"):
             self._inside -= 1
-            (self.articles if tag == "article" else self.mains).append((first, past, number))
+            self._articles -= tag == "article"
+            if tag == "article" and not self._articles:
+                self.candidates[begun:] = [(*c[:3], number) for c in self.candidates[begun:]]
+            if tag == "main" and len(self.articles) == articles and not self._articles:
+                for at in reversed(self._outside_articles[outside:]):
+                    del self.candidates[at]
+                del self._outside_articles[outside:]
+            if not self._hidden:
+                (self.articles if tag == "article" else self.mains).append((first, past, number))
             return
-        holds_article = begun < len(self.articles) + len(self.mains)
-        if past > first and not holds_article and tag not in NEVER and (tag in CONTAINERS if inside else True):
-            self.candidates.append((first, past, number, tag))
-
-    def text(self, templates: set[int]) -> str:
+        holds_article = len(self.articles) + len(self.mains) > articles + mains
+        if past > first and not holds_article and tag not in NEVER:
+            if inside and tag not in CONTAINERS:
+                if self._articles:
+                    return
+                self._outside_articles.append(len(self.candidates))
+            self.candidates.append((first, past, number, None))
+
+    def _kept(self, regions: list[tuple[int, int]], gone: list[tuple[int, int]]) -> str:
         keep = bytearray(len(self.fragments))
-        regions = [(a, b) for a, b, _ in self.articles or self.mains] or [(0, len(keep))]
         for a, b in regions:
             keep[a:b] = b"\x01" * (b - a)
-        gone = self.dropped + [(a, b) for a, b, number, _ in self.candidates if number in templates]
         for a, b in gone:
             keep[a:b] = bytes(b - a)
         blocks, part = [], []
@@ -226,6 +248,11 @@ class Page:
             blocks.append(" ".join("".join(part).split()))
         return "\n".join(block for block in blocks if block)
 
+    def text(self, templates: set[int]) -> str:
+        regions = [(a, b) for a, b, _ in self.articles + self.mains]
+        gone = self.dropped + [(a, b) for a, b, number, _ in self.candidates if number in templates]
+        return (regions and self._kept(regions, gone)) or self._kept([(0, len(self.fragments))], gone)
+
 
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -233,29 +260,35 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the html), content and subtree, once each per page; subtree is null in one row per page."""
-    schema = "host string, page long, content long, subtree long"
+    """host, page (hash of the html), content, own and subtree, once each per page; subtree is null in one row per page.
+
+    `own` is the article that the subtree stands in (the one of least hash), or else the page's content."""
+    schema = "host string, page long, content long, own long, subtree long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             out: list[tuple] = []
             for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
                 found = Page(source or "")
-                out.append((host, page, found.content, None))
-                out.extend((host, page, found.content, number) for number in {c[2] for c in found.candidates})
+                out.append((host, page, found.content, found.content, None))
+                held: dict[int, int] = {}
+                for *_, number, own in found.candidates:
+                    own = found.content if own is None else own
+                    held[number] = min(own, held.get(number, own))
+                out.extend((host, page, found.content, own, number) for number, own in held.items())
             columns = list(zip(*out))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "content", "subtree"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "content", "own", "subtree"]
             )
 
     return map_batches(pages.select("host", "page", "html"), run, schema)
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and subtree of those on many pages of different content."""
-    counts = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(
-        F.count("*").alias("pages"))
+    """host and subtree of those on many pages of different content, and in as many different articles where in articles."""
+    counts = found.groupBy("host", "subtree").agg(
+        F.least(F.countDistinct("content"), F.countDistinct("own")).alias("pages"))
     total = counts.where("subtree IS NULL").select("host", F.col("pages").alias("total"))
     enough = F.greatest(F.lit(float(min_pages)), F.col("total") * min_share)
     return counts.where("subtree IS NOT NULL").join(total, "host").where(F.col("pages") >= enough).select(

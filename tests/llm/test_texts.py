@@ -195,6 +195,25 @@ def test_pages(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_with_articles_elsewhere(spark):
+    card = "<article><h3>Teaser {n}</h3><p>cut off ...</p></article>"
+    forms = [
+        ("<main><p>long text {n}</p></main><aside>" + card + "</aside>", "long text {n}"),
+        ("<div><p>post {n}</p></div><section id=comments><article>nice {n}</article></section>", "post {n}"),
+        ("<main><p>own words {n}</p></main><div>" + card + "</div>", "own words {n}\nTeaser {n}\ncut off ..."),
+        ("<main><p>prose {n}</p>" + card + "</main>", "prose {n}\nTeaser {n}\ncut off ..."),
+        ("<main><h2>News of the day</h2><article><h2>News</h2>text {n}</article></main>", "News\ntext {n}"),
+        ("<article></article><div>body {n}</div>", "body {n}"),
+        ("<main><h2>About</h2><p>us {n}</p></main>", "About\nus {n}"),
+        ("".join(f"<article>a{i} {{n}}<div>yes {{n}}</div></article>" for i in range(5)),
+         "\n".join(f"a{i} {{n}}\nyes {{n}}" for i in range(5))),
+        ("<main><p>around {n}</p><article><div>copied <p>text</p></div></article></main>", "around {n}\ncopied\ntext"),
+    ]
+    rows = [(100 * f + n, f"http://h{f}.org/{n}", form.format(n=n)) for f, (form, _) in enumerate(forms) for n in range(6)]
+    out = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {100 * f + n: text.format(n=n) for f, (_, text) in enumerate(forms) for n in range(6)}
+
+
 def test_page_query(spark, sf_dir):
     import html
 
