@@ -31,10 +31,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import fresh, map_batches, slices, staged, texts
 
-#: A subtree is a template on this many pages of its host ...
+#: A subtree is a template on this many pages of its host, whatever share of the host they are; see `enough_pages`.
 MIN_PAGES = 4
-#: ... and on this share of the host's pages.
-MIN_SHARE = 0.1
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -213,7 +211,7 @@ class Page:
         elif tag in ("article", "main"):
             self._inside -= 1
             self._articles -= tag == "article"
-            if tag == "article" and not self._articles:
+            if tag == "article" and not self._articles and not self._hidden:
                 self.candidates[begun:] = [(*c[:3], number) for c in self.candidates[begun:]]
             if tag == "main" and len(self.articles) == articles and not self._articles:
                 for at in reversed(self._outside_articles[outside:]):
@@ -260,43 +258,48 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the html), content, own and subtree, once each per page; subtree is null in one row per page.
+    """host, page (hash of the html), content and subtree, once each per page; subtree is null in one row per page.
 
-    `own` is the article that the subtree stands in (the one of least hash), or else the page's content."""
-    schema = "host string, page long, content long, own long, subtree long"
+    The content of a subtree in articles is the article of least hash, of others the page's: pages of one content agree in it."""
+    schema = "host string, page long, content long, subtree long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             out: list[tuple] = []
             for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
                 found = Page(source or "")
-                out.append((host, page, found.content, found.content, None))
-                held: dict[int, int] = {}
+                out.append((host, page, found.content, None))
+                held: dict[int, int | None] = {}
                 for *_, number, own in found.candidates:
-                    own = found.content if own is None else own
-                    held[number] = min(own, held.get(number, own))
-                out.extend((host, page, found.content, own, number) for number, own in held.items())
+                    known = held.get(number)
+                    held[number] = own if known is None else known if own is None else min(own, known)
+                out.extend((host, page, found.content if own is None else own, number) for number, own in held.items())
             columns = list(zip(*out))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "content", "own", "subtree"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "content", "subtree"]
             )
 
     return map_batches(pages.select("host", "page", "html"), run, schema)
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and subtree of those on many pages of different content, and in as many different articles where in articles."""
-    counts = found.groupBy("host", "subtree").agg(
-        F.least(F.countDistinct("content"), F.countDistinct("own")).alias("pages"))
+def enough_pages(total: Column, min_pages: int) -> Column:
+    """Pages that make a template on a host of `total` pages: one more for each doubling beyond `min_pages` * 2 ** `min_pages`."""
+    return F.greatest(F.lit(float(min_pages)), F.log2(total / min_pages))
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host and subtree of those on many pages of different content."""
+    counts = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(
+        F.count("*").alias("pages"))
     total = counts.where("subtree IS NULL").select("host", F.col("pages").alias("total"))
-    enough = F.greatest(F.lit(float(min_pages)), F.col("total") * min_share)
-    return counts.where("subtree IS NOT NULL").join(total, "host").where(F.col("pages") >= enough).select(
+    return counts.where("subtree IS NOT NULL").join(total, "host").where(
+        F.col("pages") >= enough_pages(F.col("total"), min_pages)).select(
         "host", "subtree", "pages")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url: str = "url",
-            source: str = "html", to: str = "text") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, url: str = "url", source: str = "html",
+            to: str = "text") -> DataFrame:
     """All columns of `pages` and the main text."""
     host, page, own, name = (fresh(pages, c) for c in ("host", "page", "templates", to))
     keyed = pages.withColumns({host: host_of(F.col(url)), page: F.xxhash64(source)})
@@ -304,7 +307,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         subtrees(keyed.select(F.col(host).alias("host"), F.col(page).alias("page"), F.col(source).alias("html"))), "subtrees"
     )
     of_page = (
-        found.where("subtree IS NOT NULL").join(templates(found, min_pages, min_share), ["host", "subtree"])
+        found.where("subtree IS NOT NULL").join(templates(found, min_pages), ["host", "subtree"])
         .groupBy(F.col("host").alias(host), F.col("page").alias(page)).agg(F.collect_set("subtree").alias(own))
     )
     joined = keyed.join(of_page, [host, page], "left").select(*pages.columns, own)

@@ -214,6 +214,14 @@ def test_pages_with_articles_elsewhere(spark):
     assert out == {100 * f + n: text.format(n=n) for f, (_, text) in enumerate(forms) for n in range(6)}
 
 
+def test_layouts_of_a_hot_host(spark):
+    # 40 layouts, each on 1 page in 40 of the host, and a few subtrees on three pages
+    rows = [(n, f"http://hot.org/{n}", f"<div>menu of section {n % 40}</div><div>seen {n // 3}</div><p>own {n}</p>")
+            for n in range(1200)]
+    out = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {n: f"seen {n // 3}\nown {n}" for n in range(1200)}
+
+
 def test_page_query(spark, sf_dir):
     import html
 
