@@ -24,6 +24,7 @@ from corpusloom.sources import codefiles, jsonl
 from corpusloom.sources.staging import fresh_path
 
 CAPPED = 1200
+_FIRST_FILES = DatasetConfig(profile_files=K.PROFILE_FILES)
 _JS_FUNCTIONS = ExtractorRegistry(
     extensions=DEFAULT_REGISTRY.extensions,
     kinds=tuple(k for k in DEFAULT_REGISTRY.kinds if k.kind == "javascript_function"),
@@ -79,9 +80,9 @@ def js_dataset(spark, sf_dir):
 
 
 # --- the whole pipeline ----------------------------------------------------------
-def _dataset_sql(select: str, k: int | None = None) -> str:
+def _dataset_sql(select: str, k: int | None = None, all_files: bool = False) -> str:
     if k is None:
-        return _with_profile("").rstrip() + f""",
+        return _with_profile("", all_files).rstrip() + f""",
 {_chain('units')}
 {select}"""
     return _with_profile("").rstrip() + f""",
@@ -103,13 +104,20 @@ FROM final LEFT JOIN profile USING (repo)"""
 
 @query("code_dataset", _dataset_sql(_STYLED_FINAL))
 def code_dataset(spark, sf_dir):
+    """The style of a repository is that of its first files, as its SQL says."""
+    return _flat(build_dataset(code_files(spark, sf_dir), _FIRST_FILES))
+
+
+@query("code_dataset_all_files", _dataset_sql(_STYLED_FINAL, all_files=True))
+def code_dataset_all_files(spark, sf_dir):
+    """The default: no cap, and the style of all files."""
     return _flat(build_dataset(code_files(spark, sf_dir)))
 
 
 @query("code_dataset_capped", _dataset_sql(_STYLED_FINAL, CAPPED))
 def code_dataset_capped(spark, sf_dir):
     """A cap on raw units and a limit of as many examples."""
-    return _flat(build_dataset(code_files(spark, sf_dir), DatasetConfig(max_examples=CAPPED)))
+    return _flat(build_dataset(code_files(spark, sf_dir), DatasetConfig(max_examples=CAPPED, profile_files=K.PROFILE_FILES)))
 
 
 @query("training_text", _dataset_sql(f"""SELECT
@@ -118,7 +126,7 @@ def code_dataset_capped(spark, sf_dir):
   || '<|im_start|>assistant' || {S.NL} || assistant || '<|im_end|>' AS text
 FROM ({_STYLED_FINAL})"""))
 def training_text_query(spark, sf_dir):
-    return training_text(build_dataset(code_files(spark, sf_dir)))
+    return training_text(build_dataset(code_files(spark, sf_dir), _FIRST_FILES))
 
 
 @query("dataset_summary", _dataset_sql(f"""

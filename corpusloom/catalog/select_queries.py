@@ -123,11 +123,11 @@ def topk_examples(spark, sf_dir):
     )
 
 
-def _with_profile(statement: str) -> str:
+def _with_profile(statement: str, all_files: bool = False) -> str:
     """WITH clause that has the files, all units and the profiles."""
     units = _with_python("")[len("WITH "):]
     defined = ("parts AS (", "code_files AS (")
-    profile = profile_cte()
+    profile = profile_cte(all_files)
     start = profile.index("py_names AS (")
     assert all(d in units for d in defined)
     return f"WITH {units}, {profile[start:]}\n{statement}"

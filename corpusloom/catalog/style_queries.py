@@ -10,7 +10,7 @@ from corpusloom.catalog.corpus import (
     PYTHON_ORGANIZATION, code_files, files_cte, python_docstrings_cte, python_imports_cte,
     python_names_cte, q,
 )
-from corpusloom.catalog.registry import query
+from corpusloom.catalog.registry import SQL, query
 from corpusloom.operators.files import profile_sample, select_files
 from corpusloom.operators.style import (
     analyzed_files, count_facts, file_facts, import_sample, style_counts, style_profile,
@@ -136,10 +136,11 @@ def line_length_stats(spark, sf_dir):
 
 
 # --- the profile of the sampled files ------------------------------------------
+_FIRST_FILES = f" WHERE file_seq <= {K.PROFILE_FILES}"
 _SAMPLED = f"""{files_cte()}, {python_names_cte()}, {python_docstrings_cte()}, {_LINES},
 sample AS (SELECT * FROM (
   SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY ext_rank, path) AS file_seq
-  FROM code_files) WHERE file_seq <= {K.PROFILE_FILES}),
+  FROM code_files){_FIRST_FILES}),
 facts AS ({_STYLED_PY} UNION ALL {_STYLED_DOCS}
   UNION ALL {_pattern_names('javascript', K.JAVASCRIPT_NAME_PATTERNS)}
   UNION ALL {_pattern_names('java', K.JAVA_NAME_PATTERNS)}
@@ -158,12 +159,13 @@ measured AS (
   FROM lines JOIN sample USING (repo, path) GROUP BY repo)"""
 
 
-def profile_cte() -> str:
+def profile_cte(all_files: bool = False) -> str:
     """`profile(repo, style_context, ...)`; also defines `code_files` and `parts`."""
+    sampled = _SAMPLED.replace(_FIRST_FILES, "") if all_files else _SAMPLED
     def of(category: str) -> str:
         return f"max(value) FILTER (WHERE category = '{category}')"
 
-    return f"""{_SAMPLED},
+    return f"""{sampled},
 profile AS (
   SELECT repo, f AS functions_preferred, c AS classes_preferred, v AS variables_preferred,
     i AS preferred_indentation, d AS docstring_preferred,
@@ -182,6 +184,22 @@ def sampled_profile(spark, sf_dir):
     return style_profile(style_counts(sample), sample)
 
 
+@query("style_profile_all_files", f"""WITH {profile_cte(all_files=True)}, analyzed AS (
+  SELECT repo, count(*) AS analyzed_files FROM sample GROUP BY repo)
+SELECT repo, functions_preferred, classes_preferred, variables_preferred, preferred_indentation,
+  docstring_preferred, CAST(preferred_line_length AS INTEGER) AS preferred_line_length, style_context,
+  analyzed_files
+FROM profile JOIN analyzed USING (repo)""")
+def style_profile_all_files(spark, sf_dir):
+    """The whole profile, of every file and not of the first ones."""
+    sample = profile_sample(select_files(code_files(spark, sf_dir)), None)
+    profile = style_profile(style_counts(sample), sample).select(
+        "repo", "functions_preferred", "classes_preferred", "variables_preferred", "preferred_indentation",
+        "docstring_preferred", "preferred_line_length", "style_context",
+    )
+    return profile.join(analyzed_files(sample), "repo")
+
+
 @query("preferred_style", f"""WITH {profile_cte()}
 SELECT repo, functions_preferred, classes_preferred, variables_preferred FROM profile""")
 def preferred_style(spark, sf_dir):
@@ -226,3 +244,8 @@ SELECT repo, path, CAST(before + i AS BIGINT) AS seq, statement FROM (
 def import_sample_query(spark, sf_dir):
     sample = profile_sample(select_files(code_files(spark, sf_dir)))
     return import_sample(file_facts(sample))
+
+
+@query("import_sample_all_files", SQL["import_sample"].replace(_FIRST_FILES, ""))
+def import_sample_all_files(spark, sf_dir):
+    return import_sample(file_facts(profile_sample(select_files(code_files(spark, sf_dir)), None)))

@@ -70,8 +70,9 @@ def select_files(
     return kept
 
 
-def profile_sample(files: DataFrame, k: int = K.PROFILE_FILES) -> DataFrame:
-    """First `k` files of each repository, with their rank as `file_seq`.
+def profile_sample(files: DataFrame, k: int | None = K.PROFILE_FILES) -> DataFrame:
+    """First `k` files of each repository, with their rank as `file_seq`;
+    with None all files, which need no rank.
 
     Only languages that have a style analysis keep their text, before rows are
     moved.  Ranking prunes to `k` rows per repository inside each input split,
@@ -82,4 +83,6 @@ def profile_sample(files: DataFrame, k: int = K.PROFILE_FILES) -> DataFrame:
         "repo", "ext_rank", "path", "language",
         F.when(profiled, F.col("content")).alias("content"),
     )
+    if k is None:
+        return slim
     return top_k_per_group(slim, ["repo"], list(FILE_ORDER), k, rank="file_seq")

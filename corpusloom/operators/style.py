@@ -4,8 +4,9 @@ Each file yields an array of facts `(category, value, pos, length)`.  One
 explode and one hash aggregation turn the facts of all files into
 `style_counts`; the profile is a second, much smaller aggregation.
 
-`pos` orders the facts inside a file, `file_seq` the files inside the sample;
-together they decide which of two equally frequent values was seen first.
+`pos` orders the facts inside a file, `file_seq` the files inside the sample, or
+`(ext_rank, path)` all files; together they decide which of two equally frequent
+values was seen first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom import constants as K
 from corpusloom.functions.naming import docstring_style, is_upper, naming_style
 from corpusloom.functions.text import lines, lstrip, rstrip
+from corpusloom.operators.files import FILE_ORDER
 from corpusloom.operators.python_units import python_facts
+from corpusloom.operators.ranking import top_k_per_group
 from corpusloom.operators.regex_units import unicode_shorthands
 
 FACTS = "array<struct<category:string,value:string,pos:bigint,length:int>>"
@@ -149,15 +152,36 @@ def count_facts(facts: DataFrame) -> DataFrame:
     )
 
 
+def count_all_facts(facts: DataFrame) -> DataFrame:
+    """`style_counts` of files that have no number: `first_seq` is the place
+    `(ext_rank, path, pos)`.  Facts are counted per file first, in the task that
+    reads the file, so what is moved are a few rows per file."""
+    rows = facts.select("repo", *FILE_ORDER, F.inline_outer("facts")).where(F.col("category").isNotNull())
+    length = F.col("length")
+    of_file = rows.groupBy("repo", *FILE_ORDER, "category", "value").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("pos").alias("pos"),
+        F.sum(length).alias("total_length"),
+        F.count_if(length > 80).alias("over_80"),
+        F.count_if(length > 100).alias("over_100"),
+    )
+    return of_file.groupBy("repo", "category", "value").agg(
+        F.sum("n").alias("n"),
+        F.min(F.struct(*FILE_ORDER, "pos")).alias("first_seq"),
+        *[F.sum(c).alias(c) for c in ("total_length", "over_80", "over_100")],
+    )
+
+
 def style_counts(sample: DataFrame) -> DataFrame:
-    return count_facts(file_facts(sample))
+    count = count_facts if "file_seq" in sample.columns else count_all_facts
+    return count(file_facts(sample))
 
 
 def preferred(category: str) -> Column:
     """Most frequent value of a category; the first seen wins a tie."""
-    return F.max_by(
+    return F.min_by(
         F.when(F.col("category") == category, F.col("value")),
-        F.when(F.col("category") == category, F.struct("n", -F.col("first_seq"))),
+        F.when(F.col("category") == category, F.struct(-F.col("n"), "first_seq")),
     )
 
 
@@ -219,12 +243,15 @@ def import_sample(sample_facts: DataFrame) -> DataFrame:
     """First imports of each file, files taken while fewer than the total.
 
     Works on `file_facts` of a profile sample, so a repository's window has at
-    most as many rows as the sample.
+    most as many rows as the sample.  Of all files, those taken are among the
+    first `IMPORTS_TOTAL` with imports, as each adds one at least.
     """
     head = F.slice("imports", 1, K.IMPORTS_PER_FILE)
-    files = sample_facts.where(F.size("imports") > 0).select(
-        "repo", "path", "file_seq", head.alias("head"), F.size(head).alias("n")
-    )
+    files = sample_facts.where(F.size("imports") > 0)
+    if "file_seq" not in files.columns:
+        slim = files.select("repo", *FILE_ORDER, "imports")
+        files = top_k_per_group(slim, ["repo"], list(FILE_ORDER), K.IMPORTS_TOTAL, rank="file_seq")
+    files = files.select("repo", "path", "file_seq", head.alias("head"), F.size(head).alias("n"))
     before = Window.partitionBy("repo").orderBy("file_seq").rowsBetween(
         Window.unboundedPreceding, -1
     )

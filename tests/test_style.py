@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import build_style_profile
 from corpusloom.operators.files import profile_sample, select_files
 from corpusloom.operators.style import (
     analyzed_files, file_facts, import_sample, preferred_line_length, style_context, style_counts,
@@ -121,3 +122,15 @@ def test_import_sample_may_pass_the_total(files):
     got = import_sample(facts).orderBy("seq").collect()
     assert len(got) == 51
     assert [r.statement for r in got[:3]] == ["import a", "import b", "from  import c"]
+
+
+def test_profile_of_all_files(files):
+    snake = "// " + "x" * 100 + "\nfunction get_it(x) {\n  return 1;\n}\n"
+    camel = "// " + "x" * 100 + "\nfunction getIt(x) {\n\treturn 1;\n}\n"
+    pairs = [(f"r/a{i:03}.js", snake) for i in range(50)] + [(f"r/b{i:03}.js", camel) for i in range(70)]
+    # a tie is for the value seen first
+    pairs += [("s/b.js", snake), ("s/a.js", camel)]
+    rows = {r.repo: r for r in build_style_profile(files(*pairs)).collect()}
+    assert rows["r"].functions_preferred == "camelCase" and rows["r"].preferred_indentation == "tabs"
+    assert rows["r"].n_lines == 120 * 4
+    assert rows["s"].functions_preferred == "camelCase"
