@@ -29,6 +29,10 @@ _JS_FUNCTIONS = ExtractorRegistry(
     extensions=DEFAULT_REGISTRY.extensions,
     kinds=tuple(k for k in DEFAULT_REGISTRY.kinds if k.kind == "javascript_function"),
 )
+_JS_KINDS = ExtractorRegistry(
+    extensions=DEFAULT_REGISTRY.extensions,
+    kinds=tuple(k for k in DEFAULT_REGISTRY.kinds if k.kind.startswith("javascript_")),
+)
 _METADATA_COLUMNS = [f.name for f in METADATA.fields if f.name not in (
     "style_focus", "llm_generated_prompt", "original_instruction")]
 _METADATA_SQL = ("type, name, 'src/' || file AS file, language, lines, complexity, has_docstring, "
@@ -68,7 +72,9 @@ SELECT repo || '#' || path || '#' || seq AS example_id, repo, CAST(rank AS INTEG
   code AS assistant, {_METADATA_SQL}
 FROM final""")
 def js_dataset(spark, sf_dir):
-    """Files -> functions -> dedup -> quality -> best -> messages, all native."""
+    """Files -> functions -> dedup -> quality -> best -> messages, all native.
+
+    Functions alone, with the default context, as its SQL says; `js_dataset_all_kinds` is the whole."""
     files = select_files(code_files(spark, sf_dir, ".js", ".ts"))
     unique = dedup_first(extract_examples(files, _JS_FUNCTIONS))
     best = best_examples(with_priority(quality_filter(unique)))
@@ -114,6 +120,15 @@ def code_dataset_all_files(spark, sf_dir):
     return _flat(build_dataset(code_files(spark, sf_dir)))
 
 
+@query("js_dataset_all_kinds", _with_profile("", all_files=True).rstrip() + f""",
+js AS (SELECT * FROM units WHERE language = 'javascript'),
+{_chain('js')}
+{_STYLED_FINAL}""")
+def js_dataset_all_kinds(spark, sf_dir):
+    """JavaScript functions, arrow functions and classes, each with its repository's style."""
+    return _flat(build_dataset(code_files(spark, sf_dir), DatasetConfig(registry=_JS_KINDS)))
+
+
 @query("code_dataset_capped", _dataset_sql(_STYLED_FINAL, CAPPED))
 def code_dataset_capped(spark, sf_dir):
     """A cap on raw units and a limit of as many examples."""

@@ -19,6 +19,13 @@ def test_entry_has_rows(spark):
     assert frame.count() > 0
 
 
+def test_entry_has_all_kinds_and_styles(spark):
+    frame = entry.entry(spark)
+    assert {r.type for r in frame.select("type").distinct().collect()} == {
+        "javascript_function", "javascript_arrow_function", "javascript_class"}
+    assert frame.where("user NOT LIKE '%Standard conventions%'").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     assert check.compare(spark, sf_dir, name) is None
