@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import (
-    byte_bpe, decontaminate, embedding_imi, html_main, langid_cnn, line_dedup, ngram_join, quality_mil, suffix_dedup, token_orc,
+    block_repeats, byte_bpe, decontaminate, embedding_imi, filter_audit, html_main, langid_cnn, line_dedup, ngram_join, quality_mil,
+    spelling_trie, suffix_dedup, token_orc,
 )
 from corpusloom.llm.common import new_path, table
 
@@ -86,6 +87,20 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_trie.group(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = block_repeats.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -97,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_orc": op9_token_orc,
     "op10_html_main_text": op10_html_main_text,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_block_repeats": op13_block_repeats,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -157,11 +175,82 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_cop
     sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN c USING (doc_id)
 """
 
+#: Every order replayed on the numbers of documents by part and failed filters (bits 1 to 16 for A to E).
+_OP11 = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(d.doc_id > first_id, false) AS INT) AS failed,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT [a.letter, b.letter, c.letter, d.letter, e.letter] AS letters, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT array_to_string(letters, '') AS filter_order, step, letters[step] AS letter, bits[step] AS bit,
+    CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM orders, range(1, 6) r(step)),
+s AS (SELECT part, filter_order, CAST(step AS INT) AS step, letter, count(*),
+    coalesce(sum(n) FILTER (failed & (before + bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (failed & before <> 0 AND failed & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS toxic_lost
+    FROM c, steps GROUP BY part, filter_order, step, letter, bit, before)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s
+"""
+
+#: crc32 by its table, computed here; near words are looked for by leaving out one letter; roots by recursion.
+_OP12 = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+octets AS (SELECT doc_id, run, n, flatten(list_transform(string_split(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run), ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END)) AS o FROM runs),
+marked AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, o),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h FROM octets, crc),
+spelt AS (SELECT n, CASE WHEN h % 199 = 0 THEN concat(substring(run, 1, CAST(h % length(run) AS BIGINT)),
+    substring(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, p, concat(substring(word, 1, p), substring(word, p + 2)) AS rest FROM words, range(0, 64) r(p) WHERE p < length(word)),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM cut a JOIN cut b USING (rest, p) WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(ROW(-n, near)) AS top FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 5 * w.n THEN top[2] END AS form,
+    CASE WHEN -top[1] >= 5 * w.n THEN CAST(-top[1] AS BIGINT) END AS form_n FROM words w LEFT JOIN best USING (word)),
+way(word, place, form) AS (SELECT word, word, form FROM formed UNION ALL
+    SELECT way.word, f.word, f.form FROM way JOIN formed f ON way.form = f.word)
+SELECT f.word, f.form, way.place AS root, f.n, f.n_near, f.form_n FROM formed f JOIN way ON f.word = way.word AND way.form IS NULL
+"""
+
+#: Windows compared word by word.
+_OP13 = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 35], ' ') AS win FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS p FROM d)),
+again AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
+cut AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM s JOIN again USING (win)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op3_embedding_near_dup": _OP3,
     "op5_line_dedup": _OP5,
     "op6_ngram_join": _OP6,
+    "op11_filter_audit": _OP11,
+    "op12_spelling_variants": _OP12,
+    "op13_block_repeats": _OP13,
 }
 
 
