@@ -47,6 +47,19 @@ UNKNOWN = np.int32(2**31 - 1)
 ROW = 256
 
 
+#: Letters and digits of Unicode 16.0, which the library's tables have and older Pythons' do not (first, last).
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_DIGITS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+
+
 def _step(state: int, kind: int) -> int:
     if kind == C_APOSTROPHE:  # begins a piece unless a space or a run of others goes on
         return OTHER if state in (SPACE, OTHER, APOSTROPHE) else APOSTROPHE
@@ -69,6 +82,9 @@ def _classes() -> np.ndarray:
             out[point] = C_LETTER
         elif kind == "N":
             out[point] = C_DIGIT
+    for ranges, kind in ((LATER_LETTERS, C_LETTER), (LATER_DIGITS, C_DIGIT)):
+        for first, last in ranges:
+            out[first:last + 1] = kind
     out[WHITE_SPACE] = C_BLANK
     out[ord(" ")] = C_SPACE
     out[ord("'")] = C_APOSTROPHE

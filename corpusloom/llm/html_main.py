@@ -2,7 +2,9 @@
 
 Each page's element subtrees are hashed. Spark counts, per host, on how many pages of different content a
 subtree stands, and subtrees on many pages are templates: they are deleted with all they hold. Elements whose tag, role,
-class or id says that they are no article (menus, forms, comments ...) are deleted as well. If a page has `article` or
+class or id says that they are no article (menus, forms, comments ...) are deleted as well; a class or id only says so if all
+its words do (`site-footer`, not `no-sidebar` or `related-work`), and one that would cost the page all of its articles is not
+believed. If a page has `article` or
 `main` elements outside of deleted ones, only what is in any of them is text, unless nothing is left there: then the whole page
 counts. A recurring paragraph, heading or list in an article, or in a main without articles, stays: only recurring containers
 (div, section, table ...) can be templates there. Copies of one page, or of one article on several pages, count as one page, so
@@ -71,11 +73,25 @@ HINTS = {
     "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "footer",
     "comment", "comments", "disqus", "reply", "replies", "share", "sharing", "social", "related", "widget",
 }
+#: Words that say nothing of their own beside one of the hints.
+QUALIFIERS = {
+    "site", "page", "global", "top", "bottom", "left", "right", "primary", "secondary", "main", "mobile", "reader", "user", "list",
+    "item", "items", "link", "links", "bar", "box", "block", "area", "slot", "unit", "container", "wrapper", "wrap", "inner", "outer",
+    "section", "signup", "form", "buttons", "icons", "posts", "articles", "stories",
+}
+TOKEN_PART = re.compile(r"[-_:]+")
 WORD = re.compile(r"[a-z]+")
 NEVER = {"html", "body", "main"}
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _tells(token: str, in_article: bool) -> bool:
+    """Whether a class or id names something that is no article: all its words are hints or go with them."""
+    parts = [p for p in TOKEN_PART.split(token) if p and not p[0].isdigit()]
+    hints = [p in HINTS or (p == "header" and not in_article) for p in parts]
+    return any(hints) and all(hint or p in QUALIFIERS for p, hint in zip(parts, hints))
+
+
+def _is_boilerplate(tag: str, attributes: str, in_article: bool, hints: bool = True) -> bool:
     if tag in DROPPED:
         return True
     if tag in NEVER:
@@ -84,11 +100,11 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         if HIDDEN.search(attributes):
             return True
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            words = WORD.findall((a or b or c).lower())
+            value = (a or b or c).lower()
             if name.lower() == "role":
-                if not ROLES.isdisjoint(words):
+                if not ROLES.isdisjoint(WORD.findall(value)):
                     return True
-            elif not HINTS.isdisjoint(words) or (not in_article and "header" in words):
+            elif hints and any(_tells(token, in_article) for token in value.split()):
                 return True
     return tag == "header" and not in_article
 
@@ -96,7 +112,8 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 class Page:
     """Text fragments of a page (None: a block ends) and the ranges of fragments that elements cover."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, hints: bool = True):
+        self._hints = hints
         self.fragments: list[str | None] = []
         #: first fragment, past the last, hash, content it belongs to (None: the page's)
         self.candidates: list[tuple[int, int, int, int | None]] = []
@@ -165,7 +182,7 @@ class Page:
             return
         inside = self._inside > 0
         state = blake2b(tag.encode(), digest_size=8)
-        boilerplate = _is_boilerplate(tag, attributes, inside)
+        boilerplate = _is_boilerplate(tag, attributes, inside, self._hints)
         self._open.append([
             tag, len(self.fragments), state, boilerplate, len(self.articles), len(self.mains), inside, len(self.candidates),
             len(self._outside_articles),
@@ -252,6 +269,16 @@ class Page:
         return (regions and self._kept(regions, gone)) or self._kept([(0, len(self.fragments))], gone)
 
 
+def main_text(source: str, templates: set[int]) -> str:
+    """Text of a page; if that is empty, of the articles and mains that elements with a telling class or id hold."""
+    text = Page(source).text(templates)
+    if not text and source:
+        plain = Page(source, hints=False)
+        if plain.articles or plain.mains:
+            return plain.text(templates)
+    return text
+
+
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.coalesce(F.lower(found), F.lit(""))
@@ -317,7 +344,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, url: str = "url", sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, source):
             known = batch.column(own).to_pylist()
-            out = [Page(html).text(set(t or ())) for html, t in zip(texts(batch, source), known)]
+            out = [main_text(html, set(t or ())) for html, t in zip(texts(batch, source), known)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, name]
             )

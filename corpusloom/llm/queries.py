@@ -6,6 +6,7 @@ import math
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,10 @@ from corpusloom.llm import (
 )
 from corpusloom.llm.common import new_path, table
 
-#: Folder of the public tokenizers' vocabularies, the same on every executor.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-RANKS = os.path.join(TOKENIZERS, "byte_bpe_multi_50k.tiktoken")
-WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
+#: Vocabularies of public tokenizers, at the same place on every executor.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZERS = os.path.dirname(RANKS)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

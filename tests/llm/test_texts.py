@@ -44,6 +44,15 @@ def test_bpe_equals_the_library(reference):
         at, first = at + n, first + k
 
 
+def test_every_code_point_splits_as_in_the_library(reference):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    merger = byte_bpe.Merger(queries.RANKS)
+    for form in ("a{}", "1{}", "!{}", " {}b"):
+        texts = ["\n".join(form.format(c) for c in points[at:at + 4000]) for at in range(0, len(points), 4000)]
+        ids, counts, _, _ = byte_bpe.encode_texts(texts, merger)
+        assert ids.tolist() == [i for text in texts for i in reference.encode_ordinary(text)]
+
+
 def test_bpe_rows(spark, reference):
     rows = [(i, t, "kept") for i, t in enumerate(ODD + ODD)] + [(None, "x", None)]
     docs = spark.createDataFrame(rows, DOCS + ", token_ids string")
@@ -214,6 +223,47 @@ def test_pages_with_articles_elsewhere(spark):
     assert out == {100 * f + n: text.format(n=n) for f, (_, text) in enumerate(forms) for n in range(6)}
 
 
+def test_class_words(spark):
+    forms = [
+        ('<div class="no-sidebar"><article>text {n}</article></div>', "text {n}"),
+        ('<div id="content" class="with-sidebar"><main>text {n}</main></div>', "text {n}"),
+        ('<article class="post comments-open">text {n}</article>', "text {n}"),
+        ('<main><p>one {n}</p><div class="related-work">two {n}</div></main>', "one {n}\ntwo {n}"),
+        ('<article><section id="menu-theory">menus {n}</section></article>', "menus {n}"),
+        ('<article><h2 id="social-history">history {n}</h2>text {n}</article>', "history {n}\ntext {n}"),
+        ('<article><div class="article-header"><h1>title {n}</h1></div>text {n}</article>', "title {n}\ntext {n}"),
+        ('<div class="sidebar"><article>held {n}</article></div>', "held {n}"),
+        ('<div class="cookie-notice">only a notice {n}</div>', ""),
+        ('<div class="site-footer">foot {n}</div><div class="nav_menu_2">go {n}</div><div class="ad ad-300x250">buy {n}</div><p>text {n}</p>',
+         "text {n}"),
+        ('<article>text {n}<div class="comments-area">nice {n}</div><div class="social-share-buttons">like {n}</div></article>', "text {n}"),
+        ('<main class="comments">text {n}</main>', "text {n}"),
+    ]
+    rows = [(100 * f + n, f"http://h{f}.org/{n}", form.format(n=n)) for f, (form, _) in enumerate(forms) for n in range(3)]
+    out = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {100 * f + n: text.format(n=n) for f, (_, text) in enumerate(forms) for n in range(3)}
+
+
+def test_templates_without_telling_names_decide_most_texts(spark):
+    # the site's parts are plain elements, so only their counts tell them from the pages' own paragraphs
+    rng = np.random.default_rng(10)
+    rows, want, plain = [], {}, {}
+    for host in range(4):
+        parts = [f"<div><span>part {host}.{k}</span> of the <b>site</b></div>" for k in range(6)]
+        for n in range(40):
+            own = [f"own {host}.{n}.{k} words" for k in range(3)]
+            blocks = [parts[k] for k in rng.permutation(6)[:3]] + [f"<div>{o}</div>" for o in own]
+            page = 100 * host + n
+            rows.append((page, f"http://h{host}.org/{n}", "<div>" + "".join(blocks[k] for k in rng.permutation(6)) + "</div>"))
+            want[page] = sorted(own)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_main.extract(frame).collect():
+        assert sorted(r.text.split("\n")) == want[r.page_id]
+    for r in html_main.extract(frame, min_pages=1000).collect():
+        plain[r.page_id] = len(r.text.split("\n"))
+    assert set(plain.values()) == {6}
+
+
 def test_layouts_of_a_hot_host(spark):
     # 40 layouts, each on 1 page in 40 of the host, and a few subtrees on three pages
     rows = [(n, f"http://hot.org/{n}", f"<div>menu of section {n % 40}</div><div>seen {n // 3}</div><p>own {n}</p>")
