@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from corpusloom import constants as K
@@ -13,7 +15,7 @@ from corpusloom.catalog.select_queries import _RANKED, _with_profile
 from corpusloom.functions.chat import to_messages
 from corpusloom.functions.text import line_count
 from corpusloom.operators.enrich import enrich_instructions
-from corpusloom.operators.files import select_files
+from corpusloom.operators.files import select_files, with_language
 from corpusloom.operators.registry import DEFAULT_REGISTRY, ExtractorRegistry
 from corpusloom.operators.select import best_examples, dedup_first, quality_filter, with_priority
 from corpusloom.operators.summary import dataset_summary
@@ -312,7 +314,8 @@ def sample_sink(spark, sf_dir):
 
 
 def _write_tree(files, root: str) -> int:
-    """Write a table of files as a tree of files, in tasks; their number."""
+    """Write a table of files as a tree of files, in tasks; their number.  A file
+    without content becomes a link that leads nowhere."""
     def write(batches):
         import os
 
@@ -322,6 +325,9 @@ def _write_tree(files, root: str) -> int:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
                 target = os.path.join(root, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
+                if content is None:
+                    os.symlink("nowhere", target)
+                    continue
                 with open(target, "wb") as f:
                     f.write(content)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
@@ -329,21 +335,73 @@ def _write_tree(files, root: str) -> int:
     return files.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
+def _tree(spark, files) -> str:
+    root = codefiles.mounted_path(fresh_path(spark, "tree"))
+    _write_tree(files, root)
+    return root
+
+
+def _go_files(spark, sf_dir, path):
+    return code_files(spark, sf_dir, ".go").select(path.alias("path"), F.encode("content", "UTF-8").alias("content"))
+
+
 @query("scan_code_files", f"""
 WITH {files_cte('.go')}
 SELECT repo, repo || '/_pkg/__' || name AS path, '__' || name AS name, ext,
   CAST(strlen(content) AS BIGINT) AS size, content FROM code_files""")
 def scan_code_files(spark, sf_dir):
     """Go files with names that the built-in sources hide, as a real tree."""
-    hidden = F.regexp_replace("path", "/src/", "/_pkg/__")
-    files = code_files(spark, sf_dir, ".go").select(
-        hidden.alias("path"), F.encode("content", "UTF-8").alias("content")
-    )
+    files = _go_files(spark, sf_dir, F.regexp_replace("path", "/src/", "/_pkg/__"))
     skipped = files.select(
         F.concat("path", F.lit(".txt")).alias("path"), "content"
     ).unionByName(files.select(F.regexp_replace("path", "_pkg", "vendor").alias("path"), "content"))
-    root = codefiles.mounted_path(fresh_path(spark, "tree"))
-    _write_tree(files.unionByName(skipped), root)
+    root = _tree(spark, files.unionByName(skipped))
     codefiles.register(spark)
     tree = spark.read.format("codefiles").option("path", root).option("splits", "32").load()
     return tree.select("repo", "path", "name", "ext", "size", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("scan_own_extension", f"""
+WITH {files_cte('.go')}
+SELECT repo, repo || '/src/' || name || 'x' AS path, '.gox' AS ext, language, CAST(ext_rank AS INTEGER) AS ext_rank,
+  CAST(strlen(content) AS BIGINT) AS size
+FROM (SELECT *  REPLACE ('golike' AS language, {len(K.LANGUAGE_BY_EXTENSION)} AS ext_rank) FROM code_files)
+WHERE strlen(content) > 150""")
+def scan_own_extension(spark, sf_dir):
+    """An extension of one's own, known to the scanner and to the language lookup; a filter on size that the scan applies."""
+    plain = _go_files(spark, sf_dir, F.col("path"))
+    root = _tree(spark, plain.unionByName(_go_files(spark, sf_dir, F.concat("path", F.lit("x")))))
+    registry = DEFAULT_REGISTRY.with_extension(".gox", "golike")
+    codefiles.register(spark, registry)
+    tree = spark.read.format("codefiles").option("path", root).option("splits", "16").load()
+    kept = with_language(tree.where("size > 150 AND ext = '.gox'"), registry)
+    return kept.select("repo", "path", "ext", "language", "ext_rank", "size")
+
+
+@query("scan_segment", f"""
+WITH {files_cte('.go')}
+SELECT repo || '/environment/' || name AS path FROM code_files
+UNION ALL SELECT repo || '/cabinet/' || name FROM code_files""")
+def scan_segment(spark, sf_dir):
+    """Parts of paths compared as whole components: `env` and `bin` leave out neither `environment` nor `cabinet`."""
+    files = _go_files(spark, sf_dir, F.col("path"))
+    placed = [files.select(F.replace("path", F.lit("/src/"), F.lit(f"/{part}/")).alias("path"), "content")
+              for part in ("environment", "cabinet", "env", "bin", "a/vendor/b")]
+    root = _tree(spark, reduce(lambda a, b: a.unionByName(b), placed))
+    codefiles.register(spark)
+    tree = spark.read.format("codefiles").option("path", root).option("splits", "16").option("pathMatch", "segment").load()
+    return tree.select("path")
+
+
+@query("scan_errors", f"""
+WITH {files_cte('.go')}
+SELECT repo, path, name, CASE WHEN CAST(k AS INTEGER) % 5 <> 0 THEN CAST(strlen(content) AS BIGINT) END AS size,
+  CASE WHEN CAST(k AS INTEGER) % 5 = 0 THEN 'FileNotFoundError' END AS error FROM code_files""")
+def scan_errors(spark, sf_dir):
+    """Files that cannot be read are rows with the error's name."""
+    number = F.regexp_extract("path", r"(\d+)\.go$", 1).cast("int")
+    files = _go_files(spark, sf_dir, F.col("path"))
+    root = _tree(spark, files.withColumn("content", F.when(number % 5 != 0, F.col("content"))))
+    codefiles.register(spark)
+    tree = spark.read.format("codefiles").option("path", root).option("splits", "16").option("errors", "rows").load()
+    return tree.select("repo", "path", "name", "size", "error")

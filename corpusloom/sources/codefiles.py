@@ -3,47 +3,108 @@
 The built-in file sources hide every name that starts with `_` or `.`, which
 loses files such as `__init__.py`; this source does not.
 
-Options
+Options (names in any case)
     path        mounted directories below which to look, separated by commas; each
                 child directory of one is a repository, unless `repo` is given
     repo        name of the one repository that `path` holds
-    splits      directories to reach before the tree is handed to tasks (256)
-    slices      tasks that share the files of each such directory (1); more
-                than one spreads a single huge directory over many tasks
-
-The driver only opens directories until it has `splits` of them; files are
-listed and read by the tasks.  Path and size rules apply before a file is
-opened.
+    splits      partitions at most (256)
+    planDirs    directories that the driver opens to plan them (4096)
+    extensions  which files to read, separated by commas; `*` for all
+    ignored     parts of paths that leave a file out, separated by commas
+    pathMatch   `substring` (default) or `segment`: how those parts are compared
+    minBytes, maxBytes   sizes of files
+    errors      `skip` (default), or `rows` for a column `error` and a row for
+                every file and directory that cannot be read, without content
+
+The rules that no option names are those `register` was given.
+
+Planning opens directories level by level and weighs their files; what is
+left unopened weighs as much as an opened directory on average.  A directory
+that outweighs a partition is shared by several; then the heaviest work goes
+to the lightest partition.  So a session with a few large and very many small
+repositories gets even partitions, never more than `splits`.
+
+Filters on `repo`, `path`, `name`, `ext` and `size` are taken over from the
+query: those on `repo` before planning, the others before a file is opened.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import sys
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
+from pyspark.sql import datasource as D
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_ARROW = pa.schema([
+_COLUMNS = [
     ("repo", pa.string()), ("path", pa.string()), ("name", pa.string()),
     ("ext", pa.string()), ("size", pa.int64()), ("content", pa.binary()),
-])
+]
 _BATCH_BYTES = 8 << 20
 
 
-@dataclass
-class Subtree(InputPartition):
+@dataclass(frozen=True)
+class Rules:
+    """Which files are read."""
+
+    extensions: tuple[str, ...] | None = None
+    ignored: tuple[str, ...] = ()
+    match: str = "substring"
+    low: int = 0
+    high: int = sys.maxsize
+
+    @staticmethod
+    def of(options, base: "Rules") -> "Rules":
+        def listed(text: str) -> tuple[str, ...]:
+            return tuple(p.strip() for p in text.split(",") if p.strip())
+
+        given = {}
+        if "extensions" in options:
+            given["extensions"] = None if options["extensions"].strip() == "*" else listed(options["extensions"])
+        if "ignored" in options:
+            given["ignored"] = listed(options["ignored"])
+        for field, option in (("low", "minBytes"), ("high", "maxBytes")):
+            if option in options:
+                given[field] = int(options[option])
+        if "pathMatch" in options:
+            given["match"] = options["pathMatch"]
+        rules = replace(base, **given)
+        if rules.match not in ("substring", "segment"):
+            raise ValueError(f"option `pathMatch` is `substring` or `segment`, not `{rules.match}`")
+        return rules
+
+    def takes(self, path: str, ext: str) -> bool:
+        if self.extensions is not None and ext not in self.extensions:
+            return False
+        if self.match == "segment":
+            return not set(path.split("/")).intersection(self.ignored)
+        return not any(part in path for part in self.ignored)
+
+
+@dataclass(frozen=True)
+class Work:
+    """A directory, with all below it or its own files alone, or a share of these."""
+
     repo: str
+    prefix: str
     root: str
     directory: str
     recursive: bool
-    slice: int
-    slices: int
+    slice: int = 0
+    slices: int = 1
+
+
+@dataclass
+class Share(InputPartition):
+    work: tuple[Work, ...]
 
 
 def mounted_path(path: str) -> str:
@@ -54,111 +115,225 @@ def mounted_path(path: str) -> str:
     return plain
 
 
-def _children(directory: str) -> list[os.DirEntry]:
-    try:
-        with os.scandir(directory) as entries:
-            return sorted(entries, key=lambda e: e.name)
-    except OSError:
-        return []
-
+def text_of(name: str) -> str:
+    """A name as text; bytes that are no UTF-8 are written as `\\xff`."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
 
-def _subdirectories(directory: str) -> list[str]:
-    return [e.path for e in _children(directory) if e.is_dir(follow_symlinks=False)]
 
-
-def _files(part: Subtree) -> Iterator[os.DirEntry]:
-    pending = [part.directory]
-    while pending:
-        for entry in _children(pending.pop()):
-            if entry.is_dir(follow_symlinks=False):
-                if part.recursive:
-                    pending.append(entry.path)
-            elif zlib.crc32(entry.path.encode("utf-8", "surrogatepass")) % part.slices == part.slice:
-                yield entry
+def _children(directory: str) -> list[os.DirEntry]:
+    with os.scandir(directory) as entries:
+        return sorted(entries, key=lambda e: os.fsencode(e.name))
+
+
+def _is_directory(entry: os.DirEntry) -> bool:
+    return entry.is_dir(follow_symlinks=False)
+
+
+def _leads_to_directory(entry: os.DirEntry) -> bool:
+    """Links to directories are not followed, as they may lead back."""
+    return entry.is_symlink() and entry.is_dir()
+
+
+def _path_in(work: Work, full: str) -> str:
+    inner = text_of(os.path.relpath(full, work.root))
+    return work.prefix if inner == "." else f"{work.prefix}/{inner}"
+
+
+def _test_of(condition) -> tuple[str, Callable] | None:
+    """(column, test of a value) of a filter that this source can apply."""
+    if isinstance(condition, D.Not):
+        inner = _test_of(condition.child)
+        return inner and (inner[0], lambda v, t=inner[1]: not t(v))
+    attribute = getattr(condition, "attribute", ())
+    if len(attribute) != 1 or attribute[0] not in ("repo", "path", "name", "ext", "size"):
+        return None
+    value = getattr(condition, "value", None)
+    tests = {
+        D.EqualTo: lambda v: v == value,
+        D.In: lambda v: v in condition.value,
+        D.GreaterThan: lambda v: v > value,
+        D.GreaterThanOrEqual: lambda v: v >= value,
+        D.LessThan: lambda v: v < value,
+        D.LessThanOrEqual: lambda v: v <= value,
+        D.StringStartsWith: lambda v: v.startswith(value),
+        D.StringEndsWith: lambda v: v.endswith(value),
+        D.StringContains: lambda v: value in v,
+        D.IsNotNull: lambda v: v is not None,
+    }
+    test = tests.get(type(condition))
+    if test is None or (value is None and not isinstance(condition, D.IsNotNull)):
+        return None
+    if isinstance(condition, D.In) and None in condition.value:
+        return None
+    return attribute[0], test
 
 
 class CodeFilesReader(DataSourceReader):
-    def __init__(self, options, selection):
-        self.roots = [
-            mounted_path(p).rstrip("/") for p in options.get("path", "").split(",") if p
-        ]
+    def __init__(self, options, rules: Rules):
+        self.roots = [mounted_path(p).rstrip("/") for p in options.get("path", "").split(",") if p]
         if not self.roots:
             raise ValueError("option `path` is required")
         self.repo = options.get("repo")
-        self.splits = int(options.get("splits", "256"))
-        self.slices = int(options.get("slices", "1"))
-        self.extensions, self.ignored, self.low, self.high = selection
-
-    def partitions(self) -> list[Subtree]:
-        roots = [(self.repo or os.path.basename(d), d)
-                 for p in self.roots
-                 for d in ([p] if self.repo else _subdirectories(p))]
-        whole = [(repo, root, root) for repo, root in roots]
-        opened = []
-        # open the widest level first until there is work for enough tasks
-        while whole and len(whole) + len(opened) < self.splits:
-            deeper = [(repo, root, sub) for repo, root, d in whole for sub in _subdirectories(d)]
-            opened += whole
-            whole = deeper
-        trees = [(t, False) for t in opened] + [(t, True) for t in whole]
-        return [
-            Subtree(repo, root, directory, recursive, i, self.slices)
-            for (repo, root, directory), recursive in trees for i in range(self.slices)
-        ]
-
-    def read(self, part: Subtree) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        base = os.path.dirname(part.root)
-        for entry in _files(part):
-            ext = os.path.splitext(entry.name)[1]
-            path = os.path.relpath(entry.path, base)
-            if ext not in self.extensions or any(w in path for w in self.ignored):
-                continue
+        self.splits = max(1, int(options.get("splits", "256")))
+        self.plan_dirs = max(1, int(options.get("planDirs", "4096")))
+        self.error_rows = options.get("errors", "skip") == "rows"
+        self.rules = Rules.of(options, rules)
+        self.tests: list[tuple[str, Callable]] = []
+
+    def pushFilters(self, filters: list) -> Iterable:
+        for condition in filters:
+            test = _test_of(condition)
+            # rows of errors have no size
+            if test is None or (self.error_rows and test[0] == "size"):
+                yield condition
+            else:
+                self.tests.append(test)
+
+    def _passes(self, **values) -> bool:
+        return all(test(values[column]) for column, test in self.tests if column in values)
+
+    # --- planning, on the driver ---------------------------------------------------
+
+    def repositories(self) -> list[Work]:
+        """The repositories.  Paths begin with the directory's name; where several
+        roots have it, with as much of what stands before it as tells them apart."""
+        found = self.roots if self.repo else [e.path for r in self.roots for e in _children(r) if _is_directory(e)]
+        names = [text_of(os.path.basename(d)) for d in found]
+        for parents in (1, sys.maxsize):
+            seen = Counter(names)
+            names = [n if seen[n] == 1 else "/".join(text_of(d).strip("/").split("/")[-1 - parents:]) for n, d in zip(names, found)]
+        return [Work(self.repo or name, name, d, d, True) for name, d in zip(names, found) if self._passes(repo=self.repo or name)]
+
+    def weighed(self) -> list[tuple[int | None, int, Work]]:
+        """Bytes and number of a work's files, and the work; None where the driver did not look."""
+        pending, done = deque(self.repositories()), []
+        for _ in range(self.plan_dirs):
+            if not pending:
+                break
+            work = pending.popleft()
+            size, files = 0, 0
             try:
-                size = entry.stat().st_size
-                if not self.low <= size <= self.high:
-                    continue
-                with open(entry.path, "rb") as f:
-                    content = f.read()
+                for entry in _children(work.directory):
+                    if _is_directory(entry):
+                        pending.append(replace(work, directory=entry.path))
+                    elif self._listed(work, entry):
+                        files += 1
+                        try:
+                            size += min(entry.stat().st_size, self.rules.high)
+                        except OSError:
+                            pass
             except OSError:
+                files = 1  # the task that reads it tells the error
+            if files:
+                done.append((size, files, replace(work, recursive=False)))
+        return done + [(None, 1, work) for work in pending]
+
+    def partitions(self) -> list[Share]:
+        weighed = self.weighed()
+        known = [size for size, _, _ in weighed if size is not None]
+        usual = max(1, sum(known) // len(known)) if known else 1
+        target = max(1, sum(usual if s is None else s for s, _, _ in weighed) // self.splits)
+        parts = []
+        for size, files, work in weighed:
+            size = usual if size is None else size
+            slices = max(1, min(self.splits, files, -(-size // target)))
+            parts += [(size // slices, replace(work, slice=i, slices=slices)) for i in range(slices)]
+        parts.sort(key=lambda p: -p[0])
+        bins = [(0, i, []) for i in range(min(self.splits, len(parts)))]
+        for size, work in parts:
+            held, i, inside = bins[0]
+            inside.append(work)
+            # an empty file costs something as well
+            heapq.heapreplace(bins, (held + size + 1, i, inside))
+        return [Share(tuple(inside)) for _, _, inside in sorted(bins, key=lambda b: b[1])]
+
+    # --- reading, in tasks -----------------------------------------------------------
+
+    def _listed(self, work: Work, entry: os.DirEntry) -> bool:
+        name = text_of(entry.name)
+        path, ext = _path_in(work, entry.path), os.path.splitext(name)[1]
+        return self.rules.takes(path, ext) and self._passes(path=path, name=name, ext=ext)
+
+    def _entries(self, work: Work) -> Iterator[tuple[str, os.DirEntry | None, str | None]]:
+        """(path, file, None), or (path, None, error) of a directory that cannot be listed."""
+        pending = [work.directory]
+        while pending:
+            directory = pending.pop()
+            try:
+                children = _children(directory)
+            except OSError as error:
+                path = _path_in(work, directory)
+                if work.slice == 0 and self._passes(path=path, name=text_of(os.path.basename(directory)), ext=""):
+                    yield path, None, type(error).__name__
                 continue
-            rows.append((part.repo, path, entry.name, ext, size, content))
-            held += size
-            if held >= _BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
+            for entry in children:
+                if _is_directory(entry):
+                    if work.recursive:
+                        pending.append(entry.path)
+                elif zlib.crc32(os.fsencode(entry.path)) % work.slices == work.slice:
+                    if self._listed(work, entry) and not _leads_to_directory(entry):
+                        yield _path_in(work, entry.path), entry, None
+
+    def read(self, part: Share) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for work in part.work:
+            for path, entry, error in self._entries(work):
+                name = path.rpartition("/")[2] if entry is None else text_of(entry.name)
+                ext, size, content = os.path.splitext(name)[1] if entry else "", None, None
+                if entry is not None:
+                    try:
+                        size = entry.stat().st_size
+                        if not self.rules.low <= size <= self.rules.high or not self._passes(size=size):
+                            continue
+                        with open(entry.path, "rb") as f:
+                            content = f.read()
+                    except OSError as problem:
+                        size, error = None, type(problem).__name__
+                if error is not None and not self.error_rows:
+                    continue
+                rows.append((work.repo, path, name, ext, size, content, error))
+                held += size or 0
+                if held >= _BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
-    @staticmethod
-    def _batch(rows) -> pa.RecordBatch:
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)]
-        return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+    def _batch(self, rows) -> pa.RecordBatch:
+        columns = _COLUMNS + [("error", pa.string())] * self.error_rows
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values, kind) for (_, kind), values in zip(columns, zip(*rows))], schema=pa.schema(columns))
 
 
 class CodeFiles(DataSource):
-    selection = ((), (), 0, 0)
+    rules = Rules()
 
     @classmethod
     def name(cls) -> str:
         return "codefiles"
 
     def schema(self) -> str:
-        return "repo string, path string, name string, ext string, size bigint, content binary"
+        plain = "repo string, path string, name string, ext string, size bigint, content binary"
+        return plain + ", error string" * (self.options.get("errors", "skip") == "rows")
 
     def reader(self, schema) -> DataSourceReader:
-        return CodeFilesReader(self.options, type(self).selection)
+        return CodeFilesReader(self.options, type(self).rules)
+
 
+def register(spark: SparkSession, registry=None, rules: Rules | None = None) -> None:
+    """Make `format("codefiles")` known to a session.
 
-def register(spark: SparkSession) -> None:
-    """Make `format("codefiles")` known to a session, with the default rules."""
+    Files have the extensions of `registry` (the default one unless given) and
+    pass the default rules, or those given.  Filter pushdown is switched on in
+    the session, without which Spark refuses sources that offer it."""
     from corpusloom import constants as K
+    from corpusloom.operators.registry import DEFAULT_REGISTRY
 
-    CodeFiles.selection = (
-        tuple(ext for ext, _ in K.LANGUAGE_BY_EXTENSION), K.IGNORED_PATH_PARTS,
-        K.MIN_FILE_BYTES, K.MAX_FILE_BYTES,
-    )
-    spark.dataSource.register(CodeFiles)
+    if rules is None:
+        extensions = tuple(ext for ext, _ in (registry or DEFAULT_REGISTRY).extensions)
+        rules = Rules(extensions, tuple(K.IGNORED_PATH_PARTS), "substring", K.MIN_FILE_BYTES, K.MAX_FILE_BYTES)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(type("CodeFiles", (CodeFiles,), {"rules": rules, "__module__": __name__}))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -234,3 +234,88 @@ def test_reading_a_tree(spark, tmp_path, splits, slices):
     one = spark.read.format("codefiles").option("path", str(tmp_path / "r1")).option("repo", "me").load()
     assert {(r.repo, r.path) for r in one.collect()} == {("me", "r1/x.ts"), ("me", "r1/.x.js")}
     assert corpusloom.build_style_profile(tree).count() == 2
+
+
+def write_files(root, paths, text=f"# {PAD}"):
+    for path in paths:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+
+
+def scan(spark, path, **options):
+    return spark.read.format("codefiles").options(path=str(path), **options).load()
+
+
+def test_partitions_are_few_and_even(tmp_path):
+    write_files(tmp_path, [f"r{i}/a.py" for i in range(2000)])
+    # one repository outweighs all others, in one directory
+    write_files(tmp_path, [f"huge/src/m{i}.py" for i in range(4000)], "#" * 700)
+    for plan_dirs in ("4096", "50"):
+        reader = codefiles.CodeFilesReader(
+            {"path": str(tmp_path), "splits": "32", "planDirs": plan_dirs}, codefiles.Rules((".py",), low=100, high=100_000))
+        parts = reader.partitions()
+        assert len(parts) == 32
+        sizes = [sum(r.num_rows for r in reader.read(p)) for p in parts]
+        assert sum(sizes) == 6000
+        if plan_dirs == "4096":
+            shares = [sum(sum(b.column("size").to_pylist()) for b in reader.read(p)) for p in parts]
+            assert max(shares) < 1.4 * sum(shares) / 32
+    few = codefiles.CodeFilesReader({"path": str(tmp_path / "r1"), "repo": "r1"}, codefiles.Rules()).partitions()
+    assert len(few) == 1
+
+
+def test_rules_as_options(spark, tmp_path):
+    write_files(tmp_path, ["r/a.py", "r/b.kt", "r/environment/c.py", "r/env/d.py", "r/notes/e.py", "r/f.py"])
+    (tmp_path / "r/f.py").write_text("x")
+    codefiles.register(spark)
+
+    def paths(**options):
+        return sorted(r.path for r in scan(spark, tmp_path, **options).collect())
+
+    assert paths() == ["r/a.py", "r/notes/e.py"]
+    assert paths(extensions=".kt") == ["r/b.kt"]
+    assert paths(extensions="*", ignored="notes") == ["r/a.py", "r/b.kt", "r/env/d.py", "r/environment/c.py"]
+    assert paths(pathMatch="segment") == ["r/a.py", "r/environment/c.py", "r/notes/e.py"]
+    assert paths(minBytes="1", maxBytes="5") == ["r/f.py"]
+    with pytest.raises(Exception, match="pathMatch"):
+        paths(pathMatch="glob")
+    codefiles.register(spark, corpusloom.operators.registry.DEFAULT_REGISTRY.with_extension(".kt", "kotlin"))
+    assert paths() == ["r/a.py", "r/b.kt", "r/notes/e.py"]
+
+
+@pytest.mark.parametrize("condition, pushed", [
+    ("ext = '.py'", True), ("ext IN ('.js', '.go')", True), ("NOT ext = '.py'", True), ("size > 200", True), ("size <= 200", True),
+    ("repo = 'r1'", True), ("path LIKE 'r1/%'", True), ("path LIKE '%deep%'", True), ("name LIKE '%.js'", True),
+    ("size BETWEEN 150 AND 400", True), ("length(path) > 8", False), ("ext = '.py' OR size > 300", False),
+])
+def test_filters_are_applied_by_the_scan(spark, tmp_path, condition, pushed):
+    for i, path in enumerate(["r0/a.py", "r0/deep/b.js", "r1/c.py", "r1/deep/er/d.go"]):
+        write_files(tmp_path, [path], "#" * (150 + 100 * i))
+    codefiles.register(spark)
+    tree = scan(spark, tmp_path)
+    plain = spark.createDataFrame(tree.collect(), tree.schema)
+    found = tree.where(condition)
+    assert sorted(r.path for r in found.collect()) == sorted(r.path for r in plain.where(condition).collect())
+    assert (" Filter (" not in found._jdf.queryExecution().executedPlan().toString()) == pushed
+
+
+def test_names_that_are_no_text_and_unreadable_files(spark, tmp_path):
+    write_files(tmp_path, ["r/a.py"])
+    with open(os.path.join(os.fsencode(tmp_path), b"r/\xff\xe9.py"), "wb") as f:
+        f.write(b"x" * 200)
+    os.symlink("nowhere", tmp_path / "r/gone.py")
+    os.symlink(tmp_path / "r", tmp_path / "r/again.py")
+    codefiles.register(spark)
+    assert sorted(r.path for r in scan(spark, tmp_path).collect()) == ["r/\\xff\\xe9.py", "r/a.py"]
+    rows = {r.path: (r.size, r.error) for r in scan(spark, tmp_path, errors="rows").collect()}
+    assert rows == {"r/\\xff\\xe9.py": (200, None), "r/a.py": (122, None), "r/gone.py": (None, "FileNotFoundError")}
+    assert scan(spark, tmp_path, errors="rows").where("size > 0").count() == 2
+
+
+def test_equal_names_below_several_roots(spark, tmp_path):
+    write_files(tmp_path, ["x/one/a.py", "y/one/a.py", "y/two/a.py", "z/x/one/a.py"])
+    codefiles.register(spark)
+    roots = ",".join(str(tmp_path / r) for r in ("x", "y", "z/x"))
+    rows = spark.read.format("codefiles").option("path", roots).load().select("repo", "path").collect()
+    assert len({r.path for r in rows}) == 4 and all(r.path == f"{r.repo}/a.py" for r in rows)
+    assert {"y/one", "two"} < {r.repo for r in rows}
