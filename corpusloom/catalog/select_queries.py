@@ -13,10 +13,11 @@ from corpusloom.catalog.unit_queries import _with_python
 from corpusloom.functions.naming import complexity, naming_style
 from corpusloom.operators.files import select_files
 from corpusloom.operators.select import (
-    attach_style, best_examples, dedup_first, exclude_names, files_within_cap, group_preview,
-    matches_style, passes_quality, priority, quality_order, with_priority,
+    attach_style, dedup_first, exclude_names, files_within_cap, group_preview,
+    matches_style, order_places, passes_quality, priority, quality_order, rank_examples, with_priority,
 )
 from corpusloom.operators.units import extract_examples, parse_files
+from corpusloom.sources.staging import stage
 
 CAP = 150
 BEST = 1500
@@ -118,9 +119,25 @@ SELECT repo, path, seq, CAST(rank AS INTEGER) AS rank FROM (
       SELECT repo, ext_rank, path, seq, {S.EXAMPLE_METADATA} FROM units)))
 WHERE rank <= {BEST}"""))
 def topk_examples(spark, sf_dir):
-    return best_examples(with_priority(_examples(spark, sf_dir)), BEST).select(
-        "repo", "path", "seq", "rank"
-    )
+    places = stage(order_places(with_priority(_examples(spark, sf_dir))), "places")
+    return rank_examples(places, BEST)
+
+
+FEW, MANY = 150, 5000
+
+
+@query("topk_examples_few_and_many", _with_python(f"""
+SELECT k, repo, path, seq, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, {_RANKED} AS rank FROM (
+    SELECT *, {S.priority('has_docstring', 'naming_style')} AS priority FROM (
+      SELECT 'all' AS repo, ext_rank, path, seq, {S.EXAMPLE_METADATA} FROM units)))
+JOIN (VALUES ({FEW}), ({MANY})) AS limits(k) ON rank <= k"""))
+def topk_examples_few_and_many(spark, sf_dir):
+    """All files in one repository; a small and a large limit, found in the same way."""
+    examples = with_priority(_examples(spark, sf_dir)).withColumn("repo", F.lit("all"))
+    places = stage(order_places(examples), "places")
+    few, many = (rank_examples(places, k).withColumn("k", F.lit(k)) for k in (FEW, MANY))
+    return few.unionByName(many).select("k", "repo", "path", "seq", "rank")
 
 
 def _with_profile(statement: str, all_files: bool = False) -> str:

@@ -57,7 +57,7 @@ def select_files(
     """Files of a corpus that take part in a dataset.
 
     The size and path predicates only touch narrow columns and reach the scan;
-    `content` is decoded after them.  Undecodable files are dropped.
+    `content` is decoded after them; that of undecodable files is NULL.
     """
     if "name" not in files.columns:
         files = files.withColumn("name", base_name(F.col("path")))
@@ -74,15 +74,15 @@ def profile_sample(files: DataFrame, k: int | None = K.PROFILE_FILES) -> DataFra
     """First `k` files of each repository, with their rank as `file_seq`;
     with None all files, which need no rank.
 
-    Only languages that have a style analysis keep their text, before rows are
-    moved.  Ranking prunes to `k` rows per repository inside each input split,
-    so a repository of any size sends at most `k` rows per split.
+    The ranking only reads the listing, in which Spark prunes each repository to
+    `k` rows inside every input split; the texts of the files that it names are
+    read and decoded after it, and only of languages that have a style analysis.
     """
     profiled = F.col("language").isin("python", "javascript", "java")
-    slim = files.select(
-        "repo", "ext_rank", "path", "language",
-        F.when(profiled, F.col("content")).alias("content"),
-    )
+    content = F.when(profiled, F.col("content")).alias("content")
     if k is None:
-        return slim
-    return top_k_per_group(slim, ["repo"], list(FILE_ORDER), k, rank="file_seq")
+        return files.select("repo", "ext_rank", "path", "language", content)
+    listing = files.select("repo", "ext_rank", "path", "language")
+    first = top_k_per_group(listing, ["repo"], list(FILE_ORDER), k, rank="file_seq")
+    texts = files.where(profiled).select("repo", "path", "content")
+    return first.join(texts, ["repo", "path"], "left").select(*listing.columns, "content", "file_seq")

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions.naming import naming_style
 from corpusloom.functions.text import code_hash, line_count, nonblank_line_count
-from corpusloom.operators.ranking import first_per_key, rank_all, top_k_per_group
+from corpusloom.operators.ranking import (
+    cutoffs, first_per_key, rank_all, salted_join, sums_before, top_k, top_k_per_group, up_to,
+)
+from corpusloom.sources.staging import stage
 
 EXAMPLE_ORDER = ("ext_rank", "path", "seq")
 
 
+def cap_cutoffs(files: DataFrame, max_units: int, n: str = "n_units", keys: tuple[str, ...] = ("repo",),
+                order: tuple[str, ...] = ("ext_rank", "path")) -> DataFrame:
+    """The file of each repository that brings its units to the cap: one row
+    `(keys, cutoff)`; repositories that stay below it have none.
+
+    `files` is narrow and staged; the first order column has few values."""
+    return cutoffs(files, list(keys), [order[0]], list(order[1:]), n, max_units)
+
+
 def files_within_cap(files: DataFrame, max_units: int, n: str = "n_units",
                      keys: tuple[str, ...] = ("repo",),
                      order: tuple[str, ...] = ("ext_rank", "path")) -> DataFrame:
     """Files taken in order while the units taken so far are fewer than the cap.
 
-    A file that is taken has fewer than `max_units` units, hence fewer than
-    `max_units` non-empty files, before it.  So the running sum only has to
-    look at the first `max_units` non-empty files of a repository, however
-    many files that repository has.
-    """
-    counted = files.select(*keys, *order, n)
-    # empty files rank last instead of being filtered out first: a filter on a
-    # computed count would be pushed below it and compute it twice
-    nonempty_first = [F.col(n) == 0, *order]
-    head = top_k_per_group(
-        counted, list(keys), nonempty_first, max_units, rank="_rank"
-    ).where(F.col(n) > 0).drop("_rank")
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return head.withColumn(
-        "units_before", F.coalesce(F.sum(n).over(before), F.lit(0))
-    ).where(F.col("units_before") < max_units)
+    Only keys, order and counts are looked at: they are staged, the cap is
+    found by prefix sums, and what is taken has its own prefix sums."""
+    counted = stage(files.select(*keys, *order, n), "counts").where(F.col(n) > 0)
+    found = cap_cutoffs(counted, max_units, n, keys, order)
+    taken = up_to(counted, found, list(keys), list(order), list(order[1:]))
+    return sums_before(taken, list(keys), list(order), n, "units_before")
 
 
 def dedup_first(df: DataFrame, code: str = "output", keys: tuple[str, ...] = ("repo",),
@@ -86,14 +88,45 @@ def quality_order(metadata: str = "metadata") -> list[Column]:
     ]
 
 
+_PLACE = ("repo", "path", "seq")
+
+
+def order_columns(metadata: str = "metadata") -> dict[str, Column]:
+    """`quality_order` as ascending columns with few values and without nulls."""
+    m = F.col(metadata)
+    return {
+        "_high": ~F.coalesce(m["priority"] == "high", F.lit(False)),
+        "_complexity": -F.coalesce(m["complexity"], F.lit(0)),
+        "_documented": ~F.coalesce(m["has_docstring"], F.lit(False)),
+    }
+
+
+def rank_examples(places: DataFrame, k: int | None = None) -> DataFrame:
+    """`(repo, path, seq, rank)` of the k best examples of each repository, or of all.
+
+    `places` is a staged table of `repo`, `EXAMPLE_ORDER` and `order_columns`;
+    the plan is the same for every k."""
+    coarse, fine = [*order_columns(), EXAMPLE_ORDER[0]], list(EXAMPLE_ORDER[1:])
+    narrow = places.select("repo", *coarse, *fine)
+    kept = narrow if k is None else top_k(narrow, ["repo"], coarse, fine, k)
+    return rank_all(kept, ["repo"], [*coarse, *fine]).select(*_PLACE, "rank")
+
+
+def fetch(examples: DataFrame, decided: DataFrame) -> DataFrame:
+    """The decided examples, whole: their texts are moved once, by a join on the
+    place, which no hot group shares; they are never sorted."""
+    return examples.join(decided.hint("shuffle_hash"), list(_PLACE))
+
+
 def best_examples(examples: DataFrame, k: int | None = None) -> DataFrame:
     """The k best examples of each repository, or all of them, with their `rank`."""
-    order = [*quality_order(), *[F.col(c).asc() for c in EXAMPLE_ORDER]]
-    if k is None:
-        return rank_all(examples, ["repo"], order)
-    return top_k_per_group(
-        examples, ["repo"], order, k, rank="rank", salt_columns=["path", "seq"]
-    )
+    written = stage(examples, "examples")
+    return fetch(written, rank_examples(order_places(written), k))
+
+
+def order_places(examples: DataFrame) -> DataFrame:
+    """What `rank_examples` needs of examples; stage it unless they are staged."""
+    return examples.select("repo", *EXAMPLE_ORDER, *[c.alias(name) for name, c in order_columns().items()])
 
 
 def matches_style(kind: Column, name: Column, functions: Column, classes: Column) -> Column:
@@ -105,22 +138,6 @@ def matches_style(kind: Column, name: Column, functions: Column, classes: Column
     return F.coalesce(style == wanted, F.lit(False))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
-                salt_columns: list[str], salts: int = 16) -> DataFrame:
-    """Join in which a hot key of `left` is spread over `salts` join keys.
-
-    `right` should have few rows per key; it is copied `salts` times.  Nothing
-    is broadcast by hint: when `right` is small enough for that, Spark finds
-    out from its size.
-    """
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    salt = F.pmod(F.xxhash64(*salt_columns), F.lit(salts)).cast("int")
-    joined = left.withColumn("_salt", salt).join(
-        right.select("*", copies), [*keys, "_salt"], how
-    )
-    return joined.drop("_salt")
-
-
 def attach_style(examples: DataFrame, profile: DataFrame, columns: list[str]) -> DataFrame:
     """Add per-repository columns to examples; NULL without a profile."""
     return salted_join(

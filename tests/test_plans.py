@@ -4,13 +4,17 @@ import contextlib
 import io
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import DatasetConfig, build_dataset, build_style_profile
 from corpusloom.operators.files import profile_sample, select_files
-from corpusloom.operators.select import dedup_first, files_within_cap
+from corpusloom.operators.python_units import UNITS
+from corpusloom.operators.registry import ExtractorRegistry
+from corpusloom.operators.select import dedup_first, files_within_cap, order_columns, rank_examples
 from corpusloom.operators.units import explode_units, extract_examples, parse_files
+from corpusloom.plans.dataset import select_examples
 
 
 def plan(frame) -> str:
@@ -39,9 +43,61 @@ def test_extractors_run_once(stored):
     assert "Exchange" not in text
 
 
-def test_counting_units_extracts_once(stored):
-    text = plan(files_within_cap(parse_files(select_files(stored)), 10))
-    assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.M)) == 1
+@pytest.fixture
+def counted_parses(spark):
+    """A registry whose only extractor counts the texts it is given."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def units(column):
+        @F.pandas_udf(UNITS)
+        def run(texts: pd.Series) -> pd.Series:
+            seen.add(int(texts.notna().sum()))
+            return texts.map(lambda t: None if t is None else [{
+                "kind": "python_class", "seq": i, "name": f"C{i}", "code": f"class C{i}:\n    x = {i}\n    y = 1\n", "docstring": None,
+                "arg_count": None, "method_count": 0, "methods": [], "error": None} for i in range(4)])
+
+        return run(column)
+
+    return seen, ExtractorRegistry(extensions=((".py", "python"), (".js", "javascript")), kinds=(), functions=(("python", units),))
+
+
+def test_counting_units_extracts_once(stored, counted_parses):
+    seen, registry = counted_parses
+    assert files_within_cap(parse_files(select_files(stored), registry), 10).count() == 1
+    assert seen.value == 1
+
+
+@pytest.mark.parametrize("cap", [None, 2, 5000])
+def test_building_extracts_once(stored, counted_parses, cap):
+    seen, registry = counted_parses
+    rows = select_examples(stored, DatasetConfig(max_examples=cap, registry=registry)).collect()
+    assert seen.value == 1 and len(rows) == min(4, cap or 4)
+
+
+@pytest.mark.parametrize("cap", [None, 150, 5000])
+def test_texts_are_moved_once_and_never_sorted(stored, cap):
+    text = plan(select_examples(stored, DatasetConfig(max_examples=cap)))
+    sorts = re.findall(r"^\(\d+\) Sort\nInput \[\d+\]: \[(.*?)\]\n", text, re.M)
+    moved = [m for m in re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text, re.M) if "output#" in m]
+    assert len(moved) == 1 and not any("output#" in s for s in sorts)
+
+
+def test_every_limit_has_the_same_plan(spark):
+    frame = spark.range(100).select(F.lit("r").alias("repo"), F.lit(0).alias("ext_rank"), F.format_string("p%04d", "id").alias("path"),
+                                    F.lit(0).alias("seq"), *[F.lit(False).alias(c) for c in order_columns()])
+    def shape(k):
+        return re.findall(r"^\(\d+\) (\w+)", plan(rank_examples(frame, k)), re.M)
+    assert shape(150) == shape(5000)
+
+
+def test_only_sampled_files_are_read_with_their_texts(stored):
+    text = plan(profile_sample(select_files(stored)))
+    tree = text.split("\n\n")[0]
+    ranking = tree[tree.index("WindowGroupLimit"):]
+    schemas = re.findall(r"ReadSchema: (.*)", text)
+    assert len(schemas) == 2 and sum("content" in s for s in schemas) == 1
+    for columns in re.findall(r"^\(\d+\) (?:Window|WindowGroupLimit|Sort)\nInput \[\d+\]: \[(.*?)\]\n", text, re.M):
+        assert ranking and ("content#" not in columns or "path#" in columns and "ext_rank#" not in columns)
 
 
 def test_profile_parses_once(stored):

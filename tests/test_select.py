@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranking import rank_all, top_k_per_group
+from corpusloom.operators.ranking import cutoffs, rank_all, sums_before, top_k, top_k_per_group
 from corpusloom.operators.select import (
     attach_style, dedup_first, exclude_names, files_within_cap, group_preview, is_generic_name,
     matches_style, passes_quality, with_priority, best_examples,
@@ -32,7 +32,7 @@ def hot_rows(n=600, seed=1):
 def test_top_k_is_exact_when_salted(spark, small_limit, k):
     rows = hot_rows()
     frame = spark.createDataFrame(rows, "g string, i int, v int").repartition(7)
-    got = top_k_per_group(frame, ["g"], [F.col("v").desc(), "i"], k, salt_columns=["i"])
+    got = top_k_per_group(frame, ["g"], [F.col("v").desc(), "i"], k)
     want = set()
     for g in {r[0] for r in rows}:
         ranked = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
@@ -174,3 +174,38 @@ def test_rank_of_all_rows_of_one_group(spark):
     for repo in ("small", "big"):
         own = sorted((r for r in rows if r.repo == repo), key=lambda r: -r.x)
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+
+
+def weighted(spark, n=3000):
+    """One group holds nearly all rows, and one coarse value most of those."""
+    rng = random.Random(5)
+    rows = [("big" if i % 100 else f"g{i % 700}", 0 if rng.random() < 0.8 else rng.randint(-3, 3), f"p{i * 7919 % n:05d}", rng.choice([0, 1, 1, 5]))
+            for i in range(n)]
+    return rows, spark.createDataFrame(rows, "g string, c int, f string, n int").repartition(7)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 150, 2999, 10_000])
+def test_limits_against_brute_force(spark, limit):
+    rows, frame = weighted(spark)
+    reached, first, before = {}, set(), {}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for place, row in enumerate(sorted(r for r in rows if r[0] == g)):
+            before[row[0], row[2]] = total
+            total += row[3]
+            if place < limit:
+                first.add((g, row[2]))
+            if total >= limit and g not in reached:
+                reached[g] = (row[1], row[2])
+    found = cutoffs(frame, ["g"], ["c"], ["f"], "n", limit).collect()
+    assert {r.g: tuple(r.cutoff) for r in found} == reached and len(found) == len(reached)
+    assert {(r.g, r.f) for r in top_k(frame, ["g"], ["c"], ["f"], limit).collect()} == first
+    if limit == 1:
+        assert {(r.g, r.f): r.b for r in sums_before(frame, ["g"], ["c", "f"], "n", "b").collect()} == before
+
+
+def test_limits_of_nothing(spark):
+    _, frame = weighted(spark, 10)
+    assert cutoffs(frame.limit(0), ["g"], ["c"], ["f"], "n", 3).count() == 0
+    assert top_k(frame.limit(0), ["g"], ["c"], ["f"], 3).count() == 0
+    assert cutoffs(frame.withColumn("n", F.lit(0)), ["g"], ["c"], ["f"], "n", 1).count() == 0
