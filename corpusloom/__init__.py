@@ -2,10 +2,10 @@
 
 from corpusloom.operators.registry import DEFAULT_REGISTRY, ExtractorRegistry, PatternKind
 from corpusloom.plans.dataset import (
-    DatasetConfig, build_dataset, build_style_profile, select_examples, training_text,
+    DatasetConfig, Extraction, build_dataset, build_style_profile, extract, select_examples, training_text,
 )
 
 __all__ = [
-    "DEFAULT_REGISTRY", "DatasetConfig", "ExtractorRegistry", "PatternKind",
-    "build_dataset", "build_style_profile", "select_examples", "training_text",
+    "DEFAULT_REGISTRY", "DatasetConfig", "Extraction", "ExtractorRegistry", "PatternKind",
+    "build_dataset", "build_style_profile", "extract", "select_examples", "training_text",
 ]

@@ -11,6 +11,7 @@ from corpusloom.catalog.registry import query
 from corpusloom.operators.files import select_files
 from corpusloom.operators.kinds import PatternKind
 from corpusloom.operators.registry import DEFAULT_REGISTRY, ExtractorRegistry
+from corpusloom.plans.dataset import extract
 from corpusloom.operators.units import explode_errors, extract_examples, parse_files
 
 _METADATA_COLUMNS = ("type", "name", "file", "language", "lines", "complexity", "has_docstring",
@@ -88,13 +89,16 @@ def extract_all(spark, sf_dir):
     return _flat(_examples(spark, sf_dir, DEFAULT_REGISTRY))
 
 
-@query("extract_errors", f"""
-WITH {files_cte('.py')}
+_ERRORS_SQL = f"""
+WITH {files_cte('.py')}, broken AS (
 SELECT repo, path, 'file' AS unit_kind, NULL::VARCHAR AS unit, 'SyntaxError' AS error
 FROM code_files WHERE stem = 'b'
 UNION ALL
-SELECT repo, path || '.js', 'file', NULL, 'UnicodeDecodeError' FROM code_files WHERE stem = 'm'""")
-def extract_errors(spark, sf_dir):
+SELECT repo, path || '.js', 'file', NULL, 'UnicodeDecodeError' FROM code_files WHERE stem = 'm')
+"""
+
+
+def _broken_files(spark, sf_dir):
     files = code_files(spark, sf_dir, ".py").select(
         "repo", "path", F.encode("content", "UTF-8").alias("content"), "size"
     )
@@ -103,7 +107,20 @@ def extract_errors(spark, sf_dir):
         "repo", F.concat("path", F.lit(".js")).alias("path"),
         F.concat(F.unhex(F.lit("FF")), "content").alias("content"), "size",
     )
-    return explode_errors(parse_files(select_files(files.unionByName(undecodable))))
+    return files.unionByName(undecodable)
+
+
+@query("extract_errors", _ERRORS_SQL + "SELECT * FROM broken")
+def extract_errors(spark, sf_dir):
+    return explode_errors(parse_files(select_files(_broken_files(spark, sf_dir))))
+
+
+@query("dataset_errors", _ERRORS_SQL + """
+SELECT *, count(*) OVER () AS counted FROM broken""")
+def dataset_errors(spark, sf_dir):
+    """Errors of a build: a table and a count, both from the pass that writes the units."""
+    found = extract(_broken_files(spark, sf_dir))
+    return found.errors.withColumn("counted", F.lit(found.counts["errors"]).cast("bigint"))
 
 
 # a kind of one's own: asynchronous members of an API object

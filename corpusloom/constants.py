@@ -173,3 +173,6 @@ SPEC_DEFAULTS = {
     "ui_framework": "react",
     "persistence": "postgres",
 }
+
+# kinds of units that Python's own parser finds
+PYTHON_KINDS = ("python_function", "python_documented_function", "python_class")

@@ -132,6 +132,21 @@ def explode_errors(parsed: DataFrame) -> DataFrame:
     )
 
 
+def units_and_errors(parsed: DataFrame) -> DataFrame:
+    """One row per unit, and one per error, with its `error` and without code; one explode of one array."""
+    none = F.lit(None)
+    errors = F.transform(
+        "errors",
+        lambda e: F.struct(
+            e["kind"].alias("kind"), none.cast("bigint").alias("seq"), e["name"].alias("name"),
+            none.cast("string").alias("code"), none.cast("string").alias("docstring"),
+            none.cast("int").alias("arg_count"), none.cast("int").alias("method_count"),
+            none.cast("array<string>").alias("methods"), e["error"].alias("error"),
+        ),
+    )
+    return explode_units(parsed.withColumn("units", F.concat("units", errors)))
+
+
 def _by_kind(registry: ExtractorRegistry, attribute) -> Column:
     kinds = F.create_map(*[
         c for k in (*registry.kinds, *registry.function_kinds) for c in (F.lit(k.kind), F.lit(attribute(k)))
@@ -139,8 +154,8 @@ def _by_kind(registry: ExtractorRegistry, attribute) -> Column:
     return F.element_at(kinds, F.col("kind"))
 
 
-def to_examples(units: DataFrame, registry: ExtractorRegistry = DEFAULT_REGISTRY) -> DataFrame:
-    """Units as examples: instruction, context parts, output and metadata.
+def to_examples(units: DataFrame, registry: ExtractorRegistry = DEFAULT_REGISTRY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Units as examples: instruction, context parts, output and metadata, and the columns to `keep`.
 
     `context_suffix` is NULL where the style context of the repository belongs;
     `attach_style` fills it in after rows have been selected.
@@ -191,6 +206,7 @@ def to_examples(units: DataFrame, registry: ExtractorRegistry = DEFAULT_REGISTRY
         suffix.alias("context_suffix"),
         code.alias("output"),
         metadata.alias("metadata"),
+        *keep,
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpusloom
-from corpusloom import DatasetConfig, build_dataset, training_text
+from corpusloom import DatasetConfig, build_dataset, extract, training_text
 from corpusloom.operators.enrich import enrich_instructions
 from corpusloom.operators.files import select_files
 from corpusloom.operators.summary import dataset_summary
@@ -319,3 +319,23 @@ def test_equal_names_below_several_roots(spark, tmp_path):
     rows = spark.read.format("codefiles").option("path", roots).load().select("repo", "path").collect()
     assert len({r.path for r in rows}) == 4 and all(r.path == f"{r.repo}/a.py" for r in rows)
     assert {"y/one", "two"} < {r.repo for r in rows}
+
+
+def test_errors_and_counts_of_a_build(files):
+    corpus = files(("r/a.py", PY), ("r/a.js", JS), ("r/bad.py", f"# {PAD}\ndef (\n"), ("s/raw.js", b"\xff" + JS.encode()))
+    found = extract(corpus)
+    assert sorted(map(tuple, found.errors.collect())) == [
+        ("r", "r/bad.py", "file", None, "SyntaxError"), ("s", "s/raw.js", "file", None, "UnicodeDecodeError")]
+    kinds = {r.type: r["count"] for r in found.units.groupBy("metadata.type").count().collect()}
+    assert found.counts == kinds | {"errors": 2, "error:file": 2}
+    want = sorted(r.example_id for r in build_dataset(corpus).collect())
+    assert sorted(r.example_id for r in build_dataset(corpus, extraction=found).collect()) == want
+    lazy = DatasetConfig(staged=False)
+    unwritten = extract(corpus, lazy)
+    assert unwritten.counts is None and unwritten.errors.count() == 2
+    assert sorted(r.example_id for r in build_dataset(corpus, lazy, unwritten).collect()) == want
+
+
+def test_errors_of_nothing(files, spark):
+    found = extract(files(("r/readme.md", "x" * 200)))
+    assert found.counts == {} and found.errors.count() == 0 and found.units.count() == 0
