@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import fresh, map_batches, slices, staged, texts
+from corpusloom.llm.common import fresh, map_batches, slices, staged
 
 #: A subtree is a template on this many pages of its host, whatever share of the host they are; see `enough_pages`.
 MIN_PAGES = 4
@@ -325,6 +325,27 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         "host", "subtree", "pages")
 
 
+def _squeezed(pages: DataFrame, source: str) -> DataFrame:
+    """The pages with their html compressed one by one, for the shuffle to their templates."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == source else f.dataType) for f in pages.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in slices(batches, source):
+            raw = [None if v is None else v.encode() for v in batch.column(source).to_pylist()]
+            small = [None if v is None else len(v).to_bytes(8, "little") + codec.compress(v, asbytes=True) for v in raw]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(small, pa.binary()) if c == source else batch.column(c) for c in pages.columns], pages.columns)
+
+    return map_batches(pages, run, schema)
+
+
+def _widened(html: bytes | None) -> str | None:
+    if html is None:
+        return None
+    return pa.Codec("zstd").decompress(html[8:], int.from_bytes(html[:8], "little"), asbytes=True).decode()
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, url: str = "url", source: str = "html",
             to: str = "text") -> DataFrame:
     """All columns of `pages` and the main text."""
@@ -337,16 +358,17 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, url: str = "url", sour
         found.where("subtree IS NOT NULL").join(templates(found, min_pages), ["host", "subtree"])
         .groupBy(F.col("host").alias(host), F.col("page").alias(page)).agg(F.collect_set("subtree").alias(own))
     )
-    joined = keyed.join(of_page, [host, page], "left").select(*pages.columns, own)
+    joined = _squeezed(keyed, source).join(of_page, [host, page], "left").select(*pages.columns, own)
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
     kept = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, source):
-            known = batch.column(own).to_pylist()
-            out = [main_text(html, set(t or ())) for html, t in zip(texts(batch, source), known)]
+            known, pages_html = batch.column(own).to_pylist(), [_widened(v) for v in batch.column(source).to_pylist()]
+            out = [main_text(html or "", set(t or ())) for html, t in zip(pages_html, known)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, name]
+                [*(pa.array(pages_html, pa.string()) if c == source else batch.column(c) for c in kept), pa.array(out, pa.string())],
+                [*kept, name],
             )
 
     return map_batches(joined, run, schema)
