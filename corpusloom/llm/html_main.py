@@ -328,6 +328,7 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 def _squeezed(pages: DataFrame, source: str) -> DataFrame:
     """The pages with their html compressed one by one, for the shuffle to their templates."""
     schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == source else f.dataType) for f in pages.schema.fields])
+    names = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -335,7 +336,7 @@ def _squeezed(pages: DataFrame, source: str) -> DataFrame:
             raw = [None if v is None else v.encode() for v in batch.column(source).to_pylist()]
             small = [None if v is None else len(v).to_bytes(8, "little") + codec.compress(v, asbytes=True) for v in raw]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(small, pa.binary()) if c == source else batch.column(c) for c in pages.columns], pages.columns)
+                [pa.array(small, pa.binary()) if c == source else batch.column(c) for c in names], names)
 
     return map_batches(pages, run, schema)
 
