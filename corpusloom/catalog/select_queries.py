@@ -12,6 +12,7 @@ from corpusloom.catalog.style_queries import profile_cte, sampled_profile
 from corpusloom.catalog.unit_queries import _with_python
 from corpusloom.functions.naming import complexity, naming_style
 from corpusloom.operators.files import select_files
+from corpusloom.operators.ranking import rank_all
 from corpusloom.operators.select import (
     attach_style, dedup_first, exclude_names, files_within_cap, group_preview,
     matches_style, order_places, passes_quality, priority, quality_order, rank_examples, with_priority,
@@ -84,12 +85,12 @@ def priority_flag(spark, sf_dir):
 
 
 @query("quality_order", f"""
-SELECT doc_id, coalesce(priority = 'high', FALSE) AS is_high, complexity, has_docstring
-FROM (SELECT doc_id, complexity, coalesce(documented, FALSE) AS has_docstring,
-        {S.priority('documented', 'style')} AS priority
-      FROM (SELECT doc_id, {_DOCUMENTED} AS documented, {S.complexity('text')} AS complexity,
-              {S.naming_style(f'({_NAME})')} AS style FROM documents))
-ORDER BY is_high DESC, complexity DESC, has_docstring DESC, doc_id""")
+SELECT *, CAST(row_number() OVER (ORDER BY is_high DESC, complexity DESC, has_docstring DESC, doc_id) AS INTEGER) AS rank
+FROM (SELECT doc_id, coalesce(priority = 'high', FALSE) AS is_high, complexity, has_docstring
+  FROM (SELECT doc_id, complexity, coalesce(documented, FALSE) AS has_docstring,
+          {S.priority('documented', 'style')} AS priority
+        FROM (SELECT doc_id, {_DOCUMENTED} AS documented, {S.complexity('text')} AS complexity,
+                {S.naming_style(f'({_NAME})')} AS style FROM documents)))""")
 def quality_order_query(spark, sf_dir):
     rows = documents(spark, sf_dir).select(
         "doc_id", F.expr(_DOCUMENTED).alias("has_docstring"),
@@ -99,10 +100,10 @@ def quality_order_query(spark, sf_dir):
     flagged = rows.select("doc_id", F.struct(
         priority(F.col("has_docstring"), F.col("naming_style")).alias("priority"),
         "complexity", "has_docstring").alias("metadata"))
-    ordered = flagged.orderBy(*quality_order(), F.col("doc_id").asc())
+    ordered = rank_all(flagged, [], [*quality_order(), F.col("doc_id").asc()])
     m = F.col("metadata")
     return ordered.select(
-        "doc_id", F.coalesce(m["priority"] == "high", F.lit(False)).alias("is_high"),
+        "doc_id", "rank", F.coalesce(m["priority"] == "high", F.lit(False)).alias("is_high"),
         m["complexity"].alias("complexity"),
         F.coalesce(m["has_docstring"], F.lit(False)).alias("has_docstring"),
     )
