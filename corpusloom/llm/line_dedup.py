@@ -1,21 +1,29 @@
 """Near-duplicate lines, by columns and SQL functions alone.
 
-A line is removed if the same line stands earlier (in order of doc_id, then of place), or if an earlier line
-differs from it by at most `EDITS` edits of characters. Lines shorter than `MIN_CHARS` characters stay.
-
-Segment-partition join: a line of n characters is cut into EDITS + 1 segments. If two lines are at most EDITS edits
-apart, the longer one holds one of the shorter one's segments unchanged, near its place. So every line is indexed under its
-segments, and probes, for each length it could have been edited from, the places where a segment can stand. Keys are
-hashes of length, segment number and segment. A pair also has to agree, up to the edits, in counts of frequent letters, which is
-tested inside the join: lines that share a segment are never written out as pairs unless they pass. What is left is verified
-with a banded bit-parallel edit distance: the band of 2 * EDITS + 1 diagonals is one integer, whatever the length.
-
-Only hashes and counts of lines are shuffled; texts come in for candidates. Exact copies are one line from the start.
+A line is removed if the same line stands earlier (in order of doc_id, then of place), or if both lines have `MIN_CHARS` characters
+or more and an earlier line differs from it by few edits of characters: at most `budget` of the shorter line's length, two for short lines and a
+quarter of the root of the length for longer ones (3 for 144 characters, 8 for 1,024). Equal lines are removed at any
+length but zero.
+
+Segment-partition join. Lengths fall into bands of one budget k and one segment size t; a line is cut into k + 1 segments of t characters, the
+first half counted from its start and the others from its end. If two lines are at most k edits apart, some segment i of the shorter one is unchanged
+with i edits before it and at most k - i after it, so it stands in the longer one at most m = min(i, k - i) places off. Both lines therefore index, for
+each segment, the windows of t - m characters that start at the marks of a sparse ruler of length m: any shift up to m is the difference of two
+marks, so an unchanged segment gives both lines a common key. A line also takes the keys of the band below where a
+shorter partner may be there. Keys are dealt once and join with themselves.
+
+A key's lines meet its earliest line first, in order of place. Only lines for which no such partner is found meet the rest of their key,
+and where that has more than `HOT` lines, only those with the same counts in one of 2 * k + 1 groups of letters, which k edits leave. A pair has to
+agree, up to the budget, in length and in counts of frequent letters, which is tested inside the join, then in small pieces (k edits spoil k pieces at most),
+and is verified with a banded bit-parallel edit distance of what is left after the common beginning and end: the band of 2 * k + 1
+diagonals is one integer, up to 31 edits (16,383 characters); above that, Spark's banded distance decides.
+
+Only hashes, places and counts of lines are shuffled; texts come in for candidates. A line held by more than one in `HEAVY` of all lines
+is indexed at its first place alone: there are at most `HEAVY` such lines, which is what is broadcast. Lines are told apart by 64 bits of hash,
+32 more of a checksum, and the length.
 
 Edge cases: a null text has no lines and stays null. Documents with a null doc_id come last. Rows of equal doc_id are one
-place: equal rows keep the same lines. A line that is empty after all is short, so it stays. Extra columns pass
-through; helper columns never clash with them.
-Lines are told apart by 64-bit hashes: of n different lines, two fall together with a chance of n^2 / 2^65.
+place: equal rows keep the same lines. Empty lines stay. Extra columns pass through; helper columns never clash with them.
 """
 
 from __future__ import annotations
@@ -25,50 +33,69 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fresh, staged
 
-EDITS = 2
 MIN_CHARS = 24
+LEAST_EDITS = 2
+#: Lines of 16 k * k characters have a budget of k edits.
+ROOT = 4
+#: First lengths of the bands whose budget is the least one.
+SHORT_BANDS = (24, 36, 54, 81, 121)
+#: A line is heavy if it is more than one of so many lines.
+HEAVY = 1000
+#: A key of more lines is split by counts of letters.
+HOT = 64
 #: Letters whose counts are compared, each modulo 16.
 COUNTED = "etnaorisdlhugcm "
 _BITS = 4
+#: Bits of the integer that holds a band.
+WIDEST = 31
 
 
-def _lines(docs: DataFrame, doc: str, copy: str, text: str) -> DataFrame:
-    """doc, copy (hash of the text), pos, line and id of all lines that can be removed."""
-    rows = docs.select(
-        F.col(doc).alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
-    )
-    measured = rows.withColumn("length", F.char_length("line")).where(F.col("length") >= MIN_CHARS)
-    return measured.withColumn("id", F.xxhash64("line"))
+def _call(name: str, *args) -> Column:
+    return F.call_function(name, *(a if isinstance(a, Column) else F.lit(a) for a in args))
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a line; they differ by one at most."""
-    ends = [F.floor((length * (i + 1)) / (edits + 1)).cast("int") for i in range(edits + 1)]
-    return list(zip([F.lit(0), *ends], [ends[0], *(b - a for a, b in zip(ends, ends[1:]))]))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _key(length: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), piece)
+def budget(length: Column) -> Column:
+    """Edits allowed between a line of this length and a longer one."""
+    return F.greatest(F.lit(LEAST_EDITS), F.floor(F.sqrt(length) / ROOT).cast("int"))
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [
-        _key(length, i, F.substring(line, start + 1, size)) for i, (start, size) in enumerate(_segments(length, edits))
-    ]
+def _band_start(length: Column) -> Column:
+    root = F.floor(F.sqrt(length) / ROOT).cast("int")
+    out = F.when(length >= (ROOT * (LEAST_EDITS + 1)) ** 2, root * root * (ROOT * ROOT))
+    for start in reversed(SHORT_BANDS):
+        out = out.when(length >= start, F.lit(start))
+    return out.cast("int")
 
 
-def probe_keys(line: Column, own: Column, edits: int) -> list[Column]:
-    """Keys under which a line at most as long, within the edits, may be indexed.
+def _bands(length: Column) -> Column:
+    """First lengths of the bands in which a line is indexed: its own, and the one below if a shorter partner may be there."""
+    own = _band_start(length)
+    below = _band_start(own - 1)
+    return F.when((own > MIN_CHARS) & (length - own < budget(own - 1)), F.array(own, below)).otherwise(F.array(own))
 
-    If segment i of the shorter line is the first unchanged one, at most i edits stand before it and at most edits - i
-    after it, which bounds how far it has moved."""
-    out = []
-    for shorter in range(edits + 1):
-        length = own - shorter
-        for i, (start, size) in enumerate(_segments(length, edits)):
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            out += [_key(length, i, F.substring(line, start + 1 + move, size)) for move in range(low, high + 1)]
-    return out
+
+def _ruler(m: Column) -> Column:
+    """Marks from 0 to m such that every number up to m is a difference of two."""
+    step = F.floor(F.sqrt(m + 1)).cast("int")
+    return F.array_union(F.sequence(F.lit(0), step - 1), F.transform(F.sequence(F.lit(0), F.floor(m / step).cast("int")), lambda j: m - j * step))
+
+
+def keys(line: Column, length: Column, start: Column) -> Column:
+    """Hashes of (band, segment, window) of a line in the band that begins at `start`."""
+    k = budget(start)
+    size = F.floor(start / (k + 1)).cast("int")
+
+    def of_segment(i: Column) -> Column:
+        off = F.least(i, k - i)
+        at = F.when(i <= k - i, i * size).otherwise(length - (k - i + 1) * size)
+        return F.transform(_ruler(off), lambda x: F.xxhash64(start, i, F.substring(line, at + x + 1, size - off)))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), k), of_segment)))
 
 
 def letter_counts(line: Column) -> Column:
@@ -83,129 +110,216 @@ def letter_counts(line: Column) -> Column:
     return total
 
 
-def letters_agree(a: Column, b: Column, edits: int) -> Column:
+def letters_agree(a: Column, b: Column, edits) -> Column:
     """False only if the counts alone prove more than `edits` edits."""
+    other = a.bitwiseXOR(b)
+    other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
+    other = other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(sum(1 << (i * _BITS) for i in range(len(COUNTED)))))
+    few = F.bit_count(other) <= edits * 2  # letters whose counts differ at all
     total = F.lit(0)
     for i in range(len(COUNTED)):
         mask = F.lit((1 << _BITS) - 1).cast("long")
         gap = F.abs(F.shiftright(a, i * _BITS).bitwiseAND(mask) - F.shiftright(b, i * _BITS).bitwiseAND(mask))
         total = total + F.least(gap, F.lit(1 << _BITS) - gap)
-    return total <= 2 * edits
+    return few & (total <= edits * 2)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+def letter_groups(letters: Column, edits: Column) -> Column:
+    """Hashes of the counts in 2 * edits + 1 groups of letters: an edit spoils two groups at most, so lines within `edits` have one
+    in common. With more groups than letters, one hash for all."""
+    def masks(groups: int) -> Column:
+        mask = (1 << _BITS) - 1
+        return F.array(*(F.lit(sum(mask << (i * _BITS) for i in range(g, len(COUNTED), groups))
+                                - (1 << 64 if (len(COUNTED) - 1 - g) % groups == 0 else 0)).cast("long") for g in range(groups)))
 
+    out = F.when(edits * 2 + 1 > len(COUNTED), F.array(F.lit(0).cast("long")))
+    for k in range(LEAST_EDITS, len(COUNTED) // 2):
+        out = out.when(edits == k, F.transform(masks(2 * k + 1), lambda m: F.xxhash64(m, letters.bitwiseAND(m))))
+    return out
 
-def edit_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two strings; null above `edits`.
 
-    Column j of the matrix has one bit for each of the rows j - edits .. j + edits. `up` and `down` are the rows whose value
-    is one more, or one less, than the row before. The cost is followed along the lowest diagonal of the band down to the last row,
-    and from there along that row. Rows outside the matrix and cells outside the band only ever make the cost higher."""
-    top = 2 * edits
-    full = F.lit((1 << (top + 1)) - 1).cast("long")
-    n = F.char_length(a)
-    letters = F.split(a, "")
+def pieces_agree(a: Column, b: Column, edits: Column) -> Column:
+    """False only if so many small pieces of `a` are missing near their place in `b` that there are more than `edits` edits."""
+    count = (edits + 1) * 4
+    size = F.floor(F.char_length(a) / count).cast("int")
+    found = F.filter(F.sequence(F.lit(0), count - 1), lambda i: F.contains(
+        F.substring(b, F.greatest(i * size - edits, F.lit(0)) + 1, size + edits + F.least(i * size, edits)), F.substring(a, i * size + 1, size)))
+    return F.size(found) >= count - edits
 
-    def long(x: int) -> Column:
-        return F.lit(x).cast("long")
 
-    def bit(bits: Column, place) -> Column:
-        return F.shiftrightunsigned(bits, place).bitwiseAND(long(1)) if isinstance(place, int) else F.pmod(
-            F.floor(bits / F.pow(F.lit(2.0), place)), F.lit(2)).cast("long")
+def _alike(a: Column, b: Column, most: Column, piece) -> Column:
+    """The largest number of characters, up to `most`, in which piece(a) and piece(b), as functions of (text, done, more), agree."""
+    powers = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.pow(F.lit(2.0), F.lit(24) - i).cast("int"))
+    return F.aggregate(powers, F.lit(0), lambda done, more: F.when(
+        done + more <= most, F.when(piece(a, done, more) == piece(b, done, more), done + more).otherwise(done)).otherwise(done))
 
-    def matches(j: Column, letter: Column) -> Column:
-        out = long(0)
-        for d in range(top + 1):
-            row = j + (d - edits) - 1
-            same = F.get(letters, F.when(row >= 0, row)) == letter
-            out = out.bitwiseOR(F.when(same, long(1 << d)).otherwise(long(0)))
-        return out
 
-    def inverted(bits: Column) -> Column:
-        return bits.bitwiseXOR(full)
+def distance(a: Column, b: Column, edits: Column) -> Column:
+    """Edit distance; null above `edits`. The common beginning and end are left out, but for edits + 1 characters that the band needs."""
+    room = F.least(F.char_length(a), F.char_length(b)) - edits - 1
 
-    start = F.struct(
-        F.lit(1).alias("j"), long((1 << (top + 1)) - (1 << edits)).alias("up"), long(0).alias("down"), long(edits).alias("cost")
-    )
+    def rest(text: Column, head: Column, tail: Column) -> Column:
+        return F.substring(text, head + 1, F.char_length(text) - head - tail)
+
+    def with_head(head: Column) -> Column:
+        tail = _alike(a, b, room - head, lambda t, done, more: F.substring(t, F.char_length(t) - done - more + 1, more))
+        return _let(F.struct(head.alias("head"), tail.alias("tail")), with_both)
+
+    def with_both(cut: Column) -> Column:
+        return _let(F.struct(rest(a, cut.head, cut.tail).alias("a"), rest(b, cut.head, cut.tail).alias("b")), measured)
+
+    def measured(s: Column) -> Column:
+        wide = _call("levenshtein", s.a, s.b, edits)
+        return F.when(edits <= WIDEST, edit_distance(s.a, s.b, edits)).otherwise(F.when(wide >= 0, wide))
 
-    def step(s: Column, letter: Column) -> Column:
-        def with_same(eq: Column) -> Column:
-            diagonal = (eq.bitwiseAND(s.up) + s.up).bitwiseXOR(s.up).bitwiseOR(eq).bitwiseOR(s.down).bitwiseAND(full)
-            return _let(diagonal, with_diagonal)
+    return _let(_alike(a, b, room, lambda t, done, more: F.substring(t, done + 1, more)), with_head)
 
-        def with_diagonal(d0: Column) -> Column:
-            right, left = s.down.bitwiseOR(inverted(d0.bitwiseOR(s.up))), d0.bitwiseAND(s.up)
-            return _let(F.struct(d0.alias("d0"), right.alias("right"), left.alias("left")), with_steps)
 
-        def with_steps(h: Column) -> Column:
-            shifted = F.shiftrightunsigned(h.d0, 1)
-            row = n - s.j + edits
-            along = bit(h.right, row) - bit(h.left, row)
-            return F.struct(
-                (s.j + 1).alias("j"), h.left.bitwiseOR(inverted(shifted.bitwiseOR(h.right))).alias("up"),
-                shifted.bitwiseAND(h.right).alias("down"),
-                (s.cost + F.when(s.j <= n - edits, long(1) - bit(h.d0, top)).otherwise(along)).alias("cost"),
-            )
+def edit_distance(a: Column, b: Column, edits) -> Column:
+    """Edit distance of two strings; null above `edits`, a number or an integer column up to 31.
 
-        return _let(matches(s.j, letter), with_same)
+    Column j of the matrix has one bit for each of the rows j - edits .. j + edits. `up` and `down` are the rows whose value
+    is one more, or one less, than the row before. The cost is followed along the lowest diagonal of the band down to the last row,
+    and from there along that row. Rows outside the matrix and cells outside the band only ever make the cost higher."""
+    edits = edits if isinstance(edits, Column) else F.lit(edits)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    n = F.char_length(a)
 
-    cost = F.aggregate(F.split(b, ""), start, step).cost
+    def bit(bits: Column, place: Column) -> Column:
+        return _call("shiftrightunsigned", bits, place).bitwiseAND(one)
+
+    def with_fixed(fixed: Column) -> Column:
+        """`fixed` holds what does not change from letter to letter."""
+        def matches(j: Column, letter: Column) -> Column:
+            rows = F.sequence(F.greatest(j - edits, F.lit(1)), F.least(j + edits, n))
+            return F.aggregate(rows, none, lambda out, row: F.when(
+                F.get(fixed.letters, row - 1) == letter, out.bitwiseOR(_call("shiftleft", one, row - j + edits))).otherwise(out))
+
+        def inverted(bits: Column) -> Column:
+            return bits.bitwiseXOR(fixed.full)
+
+        def step(s: Column, letter: Column) -> Column:
+            def with_same(eq: Column) -> Column:
+                diagonal = (eq.bitwiseAND(s.up) + s.up).bitwiseXOR(s.up).bitwiseOR(eq).bitwiseOR(s.down).bitwiseAND(fixed.full)
+                return _let(diagonal, with_diagonal)
+
+            def with_diagonal(d0: Column) -> Column:
+                right, left = s.down.bitwiseOR(inverted(d0.bitwiseOR(s.up))), d0.bitwiseAND(s.up)
+                return _let(F.struct(d0.alias("d0"), right.alias("right"), left.alias("left")), with_steps)
+
+            def with_steps(h: Column) -> Column:
+                shifted = F.shiftrightunsigned(h.d0, 1)
+                row = n - s.j + edits
+                along = bit(h.right, row) - bit(h.left, row)
+                return F.struct(
+                    (s.j + 1).alias("j"), h.left.bitwiseOR(inverted(shifted.bitwiseOR(h.right))).alias("up"),
+                    shifted.bitwiseAND(h.right).alias("down"),
+                    (s.cost + F.when(s.j <= n - edits, one - bit(h.d0, edits * 2)).otherwise(along)).alias("cost"),
+                )
+
+            return _let(matches(s.j, letter), with_same)
+
+        start = F.struct(
+            F.lit(1).alias("j"), (fixed.full - _call("shiftleft", one, edits) + 1).alias("up"), none.alias("down"),
+            edits.cast("long").alias("cost"))
+        return F.aggregate(F.split(b, ""), start, step).cost
+
+    fixed = F.struct(F.split(a, "").alias("letters"), (_call("shiftleft", one, edits * 2 + 1) - 1).alias("full"))
+    cost = _let(fixed, with_fixed)
     return F.when((F.abs(n - F.char_length(b)) <= edits) & (n > edits) & (cost <= edits), cost.cast("int"))
 
 
-def _candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Different lines, as ids a and b, that share a segment and agree in letters; once each."""
-    # computed in a step of their own, or each key would measure the line again
-    measured = lines.select("id", "line", "length", letter_counts(F.col("line")).alias("letters"))
-    line, length = F.col("line"), F.col("length")
-    indexed = measured.select(F.explode(F.array(*index_keys(line, length, edits))).alias("key"), F.col("id").alias("a"), F.col("letters").alias("letters_a"))
-    indexed = indexed.groupBy("key", "a").agg(F.first("letters_a").alias("letters_a"))
-    # copies of a line meet each different line of a key once more each; Spark splits such keys when it joins
-    probing = measured.select(F.explode(F.array(*probe_keys(line, length, edits))).alias("key"), F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    alike = (F.col("a") != F.col("b")) & letters_agree(F.col("letters_a"), F.col("letters_b"), edits)
-    pairs = indexed.join(probing, "key").where(alike)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, edits: int = EDITS, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """Pairs of ids of different lines at most `edits` edits apart, with the distance, once each."""
-    lines = _lines(docs, doc, "", text)
-    pairs = staged(_candidates(lines, edits), "line_pairs")
+def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, copy (hash of the text), pos, line, length, and id and more, which tell lines apart, of all lines but empty ones."""
+    rows = docs.select(
+        F.col(doc).alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
+    ).where("line <> ''")
+    measured = rows.withColumn("length", F.char_length("line")).withColumn("id", F.xxhash64("line"))
+    return measured.withColumn("more", F.shiftleft(F.crc32("line"), 31).bitwiseXOR(F.col("length").cast("long")))
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc").isNull().alias("unknown"), F.col("doc").alias("doc"), F.col("pos").alias("pos"))
+
+
+def _members(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Lines by key, for keys of several lines: key, id, at, length, letters, k, `low`, the key's earliest line, and `hot`, whether they are many."""
+    total = firsts.select(F.sum("n")).first()[0] or 0
+    heavy = firsts.where((F.col("n") * HEAVY > total) & (F.col("n") > 1)).select("id", "more", "first")  # HEAVY rows at most
+    indexed = lines.where(F.col("length") >= MIN_CHARS).join(F.broadcast(heavy), ["id", "more"], "left").where(
+        F.col("first").isNull() | (_place() == F.col("first")))
+    # in steps of their own, or each key would measure the line again
+    banded = indexed.select("id", _place().alias("at"), "line", "length", letter_counts(F.col("line")).alias("letters"), F.explode(
+        _bands(F.col("length"))).alias("start"))
+    dealt = banded.select(
+        F.explode(keys(F.col("line"), F.col("length"), F.col("start"))).alias("key"), "id", "at", "length", "letters",
+        budget(F.col("start")).alias("k")).repartition("key")
+    once = dealt.groupBy("key", "id").agg(*(F.min(c).alias(c) for c in ("at", "length", "letters", "k")))
+    shared = dealt.groupBy("key").agg(
+        F.min(F.struct("at", "id", "length", "letters")).alias("low"), F.min("id").alias("least"), F.max("id").alias("most"), (F.count("*") > HOT).alias("hot")
+    ).where("least <> most").select("key", "low", "hot")
+    return once.join(shared, "key")
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether the lines (id, length, letters) of two structs or prefixes may be near."""
+    edits = budget(F.least(F.col(f"{a}.length"), F.col(f"{b}.length")))
+    return letters_agree(F.col(f"{a}.letters"), F.col(f"{b}.letters"), edits) & (
+        F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose lines are near, with `edits`, and `more` of b."""
+    pairs = staged(pairs.distinct(), "line_pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = staged(
-        lines.select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line_texts"
-    )
-    left, right = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.withColumn("edits", edit_distance(F.col("line_a"), F.col("line_b"), edits)).where(
-        "edits IS NOT NULL").select("a", "b", "edits")
-
-
-def decide(docs: DataFrame, edits: int = EDITS, text: str = "text", doc: str = "doc_id") -> DataFrame:
+        lines.select("id", "line", "more").join(wanted, "id", "left_semi").groupBy("id").agg(
+            F.first("line").alias("line"), F.first("more").alias("more")), "line_texts")
+    both = pairs.join(texts.toDF("a", "line_a", "more_a"), "a").join(texts.toDF("b", "line_b", "more"), "b")
+    # verifying costs far more than its few bytes tell, so the rows are dealt out over all tasks
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    long_first = F.when(F.char_length("line_a") <= F.char_length("line_b"), F.struct(
+        F.col("line_a").alias("s"), F.col("line_b").alias("l"))).otherwise(F.struct(F.col("line_b").alias("s"), F.col("line_a").alias("l")))
+    ready = both.select("a", "b", "more", long_first.alias("t")).withColumn("k", budget(F.char_length("t.s"))).where(
+        pieces_agree(F.col("t.s"), F.col("t.l"), F.col("k"))).repartition(tasks, "a", "b")
+    return ready.withColumn("edits", distance(F.col("t.s"), F.col("t.l"), F.col("k"))).where("edits IS NOT NULL").select("a", "b", "more", "edits")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(id, more) of the different lines to which an earlier line is near, once each."""
+    lines = _lines(docs, doc, text)
+    members = staged(_members(lines, firsts), "line_members")
+    group = F.when(F.col("hot"), letter_groups(F.col("letters"), F.col("k"))).otherwise(F.array(F.lit(0).cast("long")))
+    own = members.select("key", group.alias("groups"), "low", F.struct("id", "at", "length", "letters").alias("b"))
+    stars = own.where((F.col("low.id") != F.col("b.id")) & (F.col("low.at") < F.col("b.at")) & _close("low", "b"))
+    found = staged(_verified(stars.select(F.col("low.id").alias("a"), F.col("b.id").alias("b")), lines), "line_stars")
+    undecided = own.join(found.select(F.col("b").alias("done")).distinct(), F.col("b.id") == F.col("done"), "left_anti")
+    earlier = members.where("id <> low.id").select("key", F.explode(group).alias("group"), F.struct("id", "at", "length", "letters").alias("a"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    later = undecided.where("b.id <> low.id").select("key", F.explode("groups").alias("group"), "b").repartition(tasks, "key", "group")
+    rest = later.join(earlier, ["key", "group"]).where(
+        _close("a", "b") & (F.col("a.id") != F.col("b.id")) & (F.col("a.at") < F.col("b.at")))
+    others = _verified(rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), lines)
+    return found.union(others).select(F.col("b").alias("id"), "more").distinct()
+
+
+def decide(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """doc, copy, and `removed`: (place, whether only a near copy stands earlier) of every line to remove, in order."""
-    lines = _lines(docs, doc, "", text)
-    place = F.struct(F.col("doc").isNull().alias("unknown"), F.col("doc").alias("doc"), F.col("pos").alias("pos"))
-    first = lines.groupBy("id").agg(F.min(place).alias("first"))
-    found = links(docs, edits, text, doc)
-    at = first.select("id", "first")
-    ordered = found.join(at.toDF("a", "first_a"), "a").join(at.toDF("b", "first_b"), "b")
-    near = ordered.select(
-        F.when(F.col("first_a") < F.col("first_b"), F.col("b")).when(F.col("first_b") < F.col("first_a"), F.col("a")).alias("id")
-    ).where("id IS NOT NULL").distinct().withColumn("near", F.lit(True))
-    judged = lines.select("doc", "copy", "pos", "id").join(first, "id").join(near, "id", "left")
-    again = place > F.col("first")
-    removed = judged.where(again | F.col("near")).select(
+    lines = _lines(docs, doc, text)
+    firsts = staged(lines.groupBy("id", "more").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "line_firsts")
+    near = staged(near_lines(docs, firsts, text, doc).withColumn("near", F.lit(True)), "line_near")
+    judged = firsts.join(near, ["id", "more"], "left").where("n > 1 OR near")
+    placed = lines.select("doc", "copy", "pos", "id", "more").join(judged, ["id", "more"])
+    again = _place() > F.col("first")
+    removed = placed.where(again | F.col("near")).select(
         "doc", "copy", F.struct("pos", (~again).alias("near")).alias("line"))
     return removed.groupBy("doc", "copy").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """All columns of `docs`, the text without its repeated lines, and `line_counts`: lines, removed as copies, and as near copies."""
     copy, own, counts = (fresh(docs, c) for c in ("copy", "removed", "line_counts"))
-    judged = decide(docs, edits, text, doc)
+    judged = decide(docs, text, doc)
     keyed = docs.withColumn(copy, F.xxhash64(text))
     other = judged.toDF(*(fresh(keyed, f"of_{c}") for c in judged.columns))
     of_doc, of_copy, of_removed = other.columns
@@ -227,9 +341,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, text: str = "text", doc: str = "d
     )
 
 
-def drop_repeated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def drop_repeated(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines; one that loses all its text is left out."""
     counts = fresh(docs, "line_counts")
-    out = dedup(docs, edits)
+    out = dedup(docs)
     lost = (F.col(f"{counts}.copies") + F.col(f"{counts}.near_copies") > 0) & (F.trim("text") == "")
     return out.where(~F.coalesce(lost, F.lit(False))).drop(counts)

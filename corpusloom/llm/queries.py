@@ -165,11 +165,12 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USI
 _OP5 = """
 WITH lines AS (SELECT doc_id, p, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)),
-long AS (SELECT line, min(ROW(doc_id, p)) AS first FROM lines WHERE length(line) >= 24 GROUP BY line),
-near AS (SELECT DISTINCT b.line FROM long a JOIN long b ON a.line <> b.line AND a.first < b.first
-    AND length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND levenshtein(a.line, b.line) <= 2),
+firsts AS (SELECT line, min(ROW(doc_id, p)) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
+near AS (SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.line <> b.line AND a.first < b.first AND a.n >= 24 AND b.n >= 24
+    AND abs(a.n - b.n) <= greatest(2, floor(sqrt(least(a.n, b.n)) / 4))
+    AND levenshtein(a.line, b.line) <= greatest(2, floor(sqrt(least(a.n, b.n)) / 4))),
 judged AS (SELECT l.doc_id, l.p, l.line, coalesce(ROW(l.doc_id, l.p) > g.first, false) AS again, n.line IS NOT NULL AS near
-    FROM lines l LEFT JOIN long g ON l.line = g.line LEFT JOIN near n ON l.line = n.line),
+    FROM lines l LEFT JOIN firsts g ON l.line = g.line LEFT JOIN near n ON l.line = n.line),
 c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_copies, count(*) FILTER (near AND NOT again) AS n_near_copies,
     coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT again AND NOT near), '') AS kept FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_copies, coalesce(n_near_copies, 0) AS n_near_copies,

@@ -1,7 +1,9 @@
 """Near duplicates, repeated lines and passages, components and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,14 +121,21 @@ def distance(a, b):
     return row[-1]
 
 
+def budget_by_hand(a, b):
+    return max(2, math.isqrt(min(len(a), len(b)) // 16))
+
+
 def lines_by_hand(docs):
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
     places = {}
     for doc, text in order:
         for at, line in enumerate(text.split("\n") if text is not None else []):
-            if len(line) >= line_dedup.MIN_CHARS:
+            if line:
                 places.setdefault(line, (doc is None, doc or 0, at))
-    near = {b for b in places for a in places if places[a] < places[b] and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    long = [line for line in places if len(line) >= line_dedup.MIN_CHARS]
+    letters = {line: Counter(line) for line in long}
+    near = {b for b in long for a in long if places[a] < places[b] and abs(len(a) - len(b)) <= budget_by_hand(a, b)
+            and (letters[a] - letters[b]).total() <= budget_by_hand(a, b) and distance(a, b) <= budget_by_hand(a, b)}
     out = []
     for doc, text in docs:
         kept = [line for at, line in enumerate((text or "").split("\n"))
@@ -156,6 +165,51 @@ def test_lines(spark):
     assert line_dedup.drop_repeated(frame).where("doc_id IN (41, 42)").count() == 2
 
 
+def edited(rng, line, edits, letters="xé "):
+    line = list(line)
+    for _ in range(edits):
+        at = rng.randrange(len(line))
+        line[at:at + rng.randint(0, 1)] = rng.choice([[], *letters])
+    return "".join(line)
+
+
+def test_lines_of_all_bands(spark):
+    """Budgets grow with the length; pairs on both sides of a band's edge and beyond the widest band are found, short copies go."""
+    rng = random.Random(4)
+    docs = [(0, "ab"), (1, "ab\n\nc"), (2, "c\n\n")]
+    for n in (24, 25, 35, 36, 37, 54, 81, 122, 143, 144, 146, 255, 256, 259, 400, 577, 1024, 1030):
+        base = "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+        budget = max(2, math.isqrt(n // 16))
+        docs.append((len(docs), base))
+        docs += [(len(docs) + i, edited(rng, base, edits)) for i, edits in enumerate((budget - 1, budget, budget, budget + 1, budget + 2))]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, DOCS)
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(frame).collect()) == sorted(lines_by_hand(docs))
+    base = "".join(rng.choice("etaoin shrdlu") for _ in range(17000))
+    huge = [(0, base), (1, edited(rng, base, 32)), (2, edited(rng, base, 60, "#"))]
+    rows = line_dedup.dedup(spark.createDataFrame(huge, DOCS)).orderBy("doc_id").collect()
+    assert [r.text == t for r, (_, t) in zip(rows, huge)] == [True, False, True]
+
+
+def test_rulers_and_keys(spark):
+    marks = spark.range(0, 200).select(F.col("id").cast("int").alias("m")).select("m", line_dedup._ruler(F.col("m")).alias("marks"))
+    for m, found in marks.collect():
+        assert {abs(a - b) for a in found for b in found} == set(range(m + 1))
+        assert len(found) <= 2 * (m + 1) ** 0.5 + 1
+
+
+def test_line_segment_of_very_many_lines(spark):
+    """Ten thousand different lines share their beginning; a group of near copies of one line is among them."""
+    rng = random.Random(6)
+    head = "All of these lines begin alike, for longer than a segment: "
+    lines = [head + "".join(rng.choice("etaoinshrdlu") for _ in range(60)) for _ in range(10000)]
+    near = {edited(rng, lines[0], 1, "xyzé") for _ in range(300)} - set(lines)
+    docs = [(i, line) for i, line in enumerate([*lines, *sorted(near)])]
+    out = line_dedup.dedup(spark.createDataFrame(docs, DOCS).repartition(8))
+    left = {r.doc_id for r in out.where("text <> ''").collect()}
+    assert left == set(range(len(lines)))
+
+
 def test_line_plan_has_no_python(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     assert "Python" not in line_dedup.dedup(docs)._jdf.queryExecution().toString()
