@@ -166,7 +166,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USI
 _OP5 = """
 WITH lines AS (SELECT doc_id, p, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)),
-control AS (SELECT string_agg(chr(i), '' ORDER BY i) AS spare FROM range(1, 32) r(i)),
+control AS (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) AS spare FROM range(1, 32) r(i)),
 firsts AS (SELECT line, min(ROW(doc_id, p)) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
 near AS (SELECT DISTINCT b.line FROM control JOIN firsts a ON true JOIN firsts b ON a.line <> b.line AND a.first < b.first AND a.n >= 24 AND b.n >= 24
     AND abs(a.n - b.n) <= greatest(2, floor(sqrt(least(a.n, b.n)) / 4))
