@@ -166,14 +166,14 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USI
 _OP5 = """
 WITH lines AS (SELECT doc_id, p, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)),
-control AS (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) AS spare FROM range(1, 32) r(i)),
 firsts AS (SELECT line, min(ROW(doc_id, p)) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
-near AS (SELECT DISTINCT b.line FROM control JOIN firsts a ON true JOIN firsts b ON a.line <> b.line AND a.first < b.first AND a.n >= 24 AND b.n >= 24
+pairs AS MATERIALIZED (SELECT a.line AS a, b.line AS b, greatest(2, floor(sqrt(least(a.n, b.n)) / 4)) AS k
+    FROM firsts a JOIN firsts b ON a.line <> b.line AND a.first < b.first AND a.n >= 24 AND b.n >= 24
     AND abs(a.n - b.n) <= greatest(2, floor(sqrt(least(a.n, b.n)) / 4))
-    AND CASE WHEN levenshtein(a.line, b.line) <= 4 * greatest(2, floor(sqrt(least(a.n, b.n)) / 4)) THEN levenshtein(
-        translate(a.line, array_to_string(list_distinct(regexp_extract_all(concat(a.line, b.line), '[^\\x00-\\x7F]')), ''), spare),
-        translate(b.line, array_to_string(list_distinct(regexp_extract_all(concat(a.line, b.line), '[^\\x00-\\x7F]')), ''), spare)) END
-        <= greatest(2, floor(sqrt(least(a.n, b.n)) / 4))),
+    AND levenshtein(a.line, b.line) <= 4 * greatest(2, floor(sqrt(least(a.n, b.n)) / 4))),
+spelt AS (SELECT a, b, k, array_to_string(list_distinct(regexp_extract_all(concat(a, b), '[^\\x00-\\x7F]')), '') AS wide,
+    (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) FROM range(1, 32) r(i)) AS spare FROM pairs),
+near AS (SELECT DISTINCT b AS line FROM spelt WHERE levenshtein(translate(a, wide, spare), translate(b, wide, spare)) <= k),
 judged AS (SELECT l.doc_id, l.p, l.line, coalesce(ROW(l.doc_id, l.p) > g.first, false) AS again, n.line IS NOT NULL AS near
     FROM lines l LEFT JOIN firsts g ON l.line = g.line LEFT JOIN near n ON l.line = n.line),
 c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_copies, count(*) FILTER (near AND NOT again) AS n_near_copies,
