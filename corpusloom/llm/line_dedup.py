@@ -255,8 +255,9 @@ def _members(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         F.explode(keys(F.col("line"), F.col("length"), F.col("start"))).alias("key"), "id", "at", "length", "letters",
         budget(F.col("start")).alias("k")).repartition("key")
     once = dealt.groupBy("key", "id").agg(*(F.min(c).alias(c) for c in ("at", "length", "letters", "k")))
+    # `low` holds all columns of `dealt`, so that both groupings read one shuffle
     shared = dealt.groupBy("key").agg(
-        F.min(F.struct("at", "id", "length", "letters")).alias("low"), F.min("id").alias("least"), F.max("id").alias("most"), (F.count("*") > HOT).alias("hot")
+        F.min(F.struct("at", "id", "length", "letters", "k")).alias("low"), F.min("id").alias("least"), F.max("id").alias("most"), (F.count("*") > HOT).alias("hot")
     ).where("least <> most").select("key", "low", "hot")
     return once.join(shared, "key")
 
@@ -276,13 +277,15 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         lines.select("id", "line", "more").join(wanted, "id", "left_semi").groupBy("id").agg(
             F.first("line").alias("line"), F.first("more").alias("more")), "line_texts")
     both = pairs.join(texts.toDF("a", "line_a", "more_a"), "a").join(texts.toDF("b", "line_b", "more"), "b")
+    ordered = F.char_length("line_a") <= F.char_length("line_b")
+    short, long = (F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(c) for x, y, c in (("line_a", "line_b", "s"), ("line_b", "line_a", "l")))
+    # Tables of their own: otherwise the optimizer moves the filters into the join, where each use of `s`, `l` and `k` is computed anew.
+    ready = staged(both.select("a", "b", "more", short, long).withColumn("k", budget(F.char_length("s"))), "line_pair_texts")
     # verifying costs far more than its few bytes tell, so the rows are dealt out over all tasks
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    long_first = F.when(F.char_length("line_a") <= F.char_length("line_b"), F.struct(
-        F.col("line_a").alias("s"), F.col("line_b").alias("l"))).otherwise(F.struct(F.col("line_b").alias("s"), F.col("line_a").alias("l")))
-    ready = both.select("a", "b", "more", long_first.alias("t")).withColumn("k", budget(F.char_length("t.s"))).where(
-        pieces_agree(F.col("t.s"), F.col("t.l"), F.col("k"))).repartition(tasks, "a", "b")
-    return ready.withColumn("edits", distance(F.col("t.s"), F.col("t.l"), F.col("k"))).where("edits IS NOT NULL").select("a", "b", "more", "edits")
+    dealt = ready.where(pieces_agree(F.col("s"), F.col("l"), F.col("k"))).repartition(tasks, "a", "b")
+    judged = staged(dealt.select("a", "b", "more", distance(F.col("s"), F.col("l"), F.col("k")).alias("edits")), "line_distances")
+    return judged.where("edits IS NOT NULL")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
