@@ -28,6 +28,8 @@ place: equal rows keep the same lines. Empty lines stay. Extra columns pass thro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ HOT = 64
 #: Letters whose counts are compared, each modulo 16.
 COUNTED = "etnaorisdlhugcm "
 _BITS = 4
+#: Budgets whose keys are written out; larger ones take the general form, with equal results.
+WRITTEN_OUT = range(LEAST_EDITS, 5)
 #: Bits of the integer that holds a band.
 WIDEST = 31
 
@@ -95,7 +99,22 @@ def keys(line: Column, length: Column, start: Column) -> Column:
         at = F.when(i <= k - i, i * size).otherwise(length - (k - i + 1) * size)
         return F.transform(_ruler(off), lambda x: F.xxhash64(start, i, F.substring(line, at + x + 1, size - off)))
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), k), of_segment)))
+    def written_out(edits: int) -> Column:
+        """The same for one budget, without lambdas, which Spark does not compile."""
+        width = F.floor(start / (edits + 1)).cast("int")
+        out = []
+        for i in range(edits + 1):
+            off = min(i, edits - i)
+            step = math.isqrt(off + 1)
+            at = width * i if i <= edits - i else length - width * (edits - i + 1)
+            for x in sorted({*range(step), *range(off, -1, -step)}):
+                out.append(F.xxhash64(start, F.lit(i), F.substring(line, at + (x + 1), width - off)))
+        return F.array(*out)
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), k), of_segment))
+    for edits in reversed(WRITTEN_OUT):
+        found = F.when(k == edits, written_out(edits)).otherwise(found)
+    return F.array_distinct(found)
 
 
 def letter_counts(line: Column) -> Column:
