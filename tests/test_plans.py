@@ -100,6 +100,14 @@ def test_only_sampled_files_are_read_with_their_texts(stored):
         assert ranking and ("content#" not in columns or "path#" in columns and "ext_rank#" not in columns)
 
 
+def test_texts_of_the_sample_are_never_broadcast(spark, stored):
+    # the estimate of exploded rows is that of the rows before
+    many = stored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumn("path", F.format_string("%s/%d.py", "repo", "copy"))
+    sample = profile_sample(select_files(many.drop("copy")))
+    assert "Broadcast" not in plan(sample)
+    assert sample.where("content IS NOT NULL").count() == 100
+
+
 def test_profile_parses_once(stored):
     text = plan(build_style_profile(stored))
     assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.M)) == 1
