@@ -49,6 +49,8 @@ _COLUMNS = [
     ("ext", pa.string()), ("size", pa.int64()), ("content", pa.binary()),
 ]
 _BATCH_BYTES = 8 << 20
+# what a row costs besides its content, so that very many small files make small batches too
+_ROW_BYTES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,15 @@ def _children(directory: str) -> list[os.DirEntry]:
         return sorted(entries, key=lambda e: os.fsencode(e.name))
 
 
+def _streamed(directory: str, failed: list[OSError]) -> Iterator[os.DirEntry]:
+    """The entries of a directory as they come; what ends the listing goes to `failed`."""
+    try:
+        with os.scandir(directory) as entries:
+            yield from entries
+    except OSError as error:
+        failed.append(error)
+
+
 def _is_directory(entry: os.DirEntry) -> bool:
     return entry.is_dir(follow_symlinks=False)
 
@@ -212,18 +223,19 @@ class CodeFilesReader(DataSourceReader):
                 break
             work = pending.popleft()
             size, files = 0, 0
-            try:
-                for entry in _children(work.directory):
-                    if _is_directory(entry):
-                        pending.append(replace(work, directory=entry.path))
-                    elif self._listed(work, entry):
-                        files += 1
-                        try:
-                            size += min(entry.stat().st_size, self.rules.high)
-                        except OSError:
-                            pass
-            except OSError:
-                files = 1  # the task that reads it tells the error
+            below, failed = [], []
+            for entry in _streamed(work.directory, failed):
+                if _is_directory(entry):
+                    below.append(replace(work, directory=entry.path))
+                elif self._listed(work, entry):
+                    files += 1
+                    try:
+                        size += min(entry.stat().st_size, self.rules.high)
+                    except OSError:
+                        pass
+            if failed:
+                files = files or 1  # the task that reads it tells the error
+            pending.extend(sorted(below, key=lambda w: os.fsencode(w.directory)))
             if files:
                 done.append((size, files, replace(work, recursive=False)))
         return done + [(None, 1, work) for work in pending]
@@ -255,24 +267,24 @@ class CodeFilesReader(DataSourceReader):
         return self.rules.takes(path, ext) and self._passes(path=path, name=name, ext=ext)
 
     def _entries(self, work: Work) -> Iterator[tuple[str, os.DirEntry | None, str | None]]:
-        """(path, file, None), or (path, None, error) of a directory that cannot be listed."""
+        """(path, file, None), or (path, None, error) of a directory that cannot be listed.
+
+        Entries pass one by one, in no order: a directory of any size is never held."""
         pending = [work.directory]
         while pending:
             directory = pending.pop()
-            try:
-                children = _children(directory)
-            except OSError as error:
-                path = _path_in(work, directory)
-                if work.slice == 0 and self._passes(path=path, name=text_of(os.path.basename(directory)), ext=""):
-                    yield path, None, type(error).__name__
-                continue
-            for entry in children:
+            failed = []
+            for entry in _streamed(directory, failed):
                 if _is_directory(entry):
                     if work.recursive:
                         pending.append(entry.path)
                 elif zlib.crc32(os.fsencode(entry.path)) % work.slices == work.slice:
                     if self._listed(work, entry) and not _leads_to_directory(entry):
                         yield _path_in(work, entry.path), entry, None
+            for error in failed:
+                path = _path_in(work, directory)
+                if work.slice == 0 and self._passes(path=path, name=text_of(os.path.basename(directory)), ext=""):
+                    yield path, None, type(error).__name__
 
     def read(self, part: Share) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -292,7 +304,7 @@ class CodeFilesReader(DataSourceReader):
                 if error is not None and not self.error_rows:
                     continue
                 rows.append((work.repo, path, name, ext, size, content, error))
-                held += size or 0
+                held += (size or 0) + _ROW_BYTES
                 if held >= _BATCH_BYTES:
                     yield self._batch(rows)
                     rows, held = [], 0

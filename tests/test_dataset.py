@@ -242,6 +242,25 @@ def write_files(root, paths, text=f"# {PAD}"):
         (root / path).write_text(text)
 
 
+def test_a_directory_of_any_size_is_never_held(tmp_path):
+    import tracemalloc
+
+    (tmp_path / "r").mkdir()
+    for i in range(8000):
+        (tmp_path / "r" / f"{i:05d}.py").write_text("# 1")
+    rules = codefiles.Rules((".py",))
+    reader = codefiles.CodeFilesReader({"path": str(tmp_path), "splits": "4"}, rules)
+    parts = reader.partitions()
+    found = [work for part in parts for work in part.work]
+    assert len(parts) == 4
+    tracemalloc.start()
+    assert sum(1 for work in found for _ in reader._entries(work)) == 8000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000  # 8,000 entries and their paths are over 1.5 MB
+    assert sum(batch.num_rows for part in parts for batch in reader.read(part)) == 8000
+
+
 def scan(spark, path, **options):
     return spark.read.format("codefiles").options(path=str(path), **options).load()
 
