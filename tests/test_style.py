@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom import build_style_profile
 from corpusloom.operators.files import profile_sample, select_files
 from corpusloom.operators.style import (
-    analyzed_files, file_facts, import_sample, preferred_line_length, style_context, style_counts,
+    analyzed_files, count_facts, file_facts, import_sample, preferred_line_length, style_context, style_counts,
     style_profile,
 )
 
@@ -134,3 +134,12 @@ def test_profile_of_all_files(files):
     assert rows["r"].functions_preferred == "camelCase" and rows["r"].preferred_indentation == "tabs"
     assert rows["r"].n_lines == 120 * 4
     assert rows["s"].functions_preferred == "camelCase"
+
+
+def test_names_that_a_file_repeats_are_counted_where_it_is_parsed(files):
+    text = PY_PAD + "a = 1\nb = 2\n" + "a = a + 1\n" * 30 + "def f(x):\n    a = b = x\n    return a\n"
+    facts = file_facts(select_files(files(("r/a.py", text))))
+    names = [f for r in facts.collect() for f in r.facts if f.category in ("variables", "functions")]
+    assert sorted((f.category, f.pos, f.n) for f in names) == [("functions", 33, 1), ("variables", 1, 32), ("variables", 2, 2)]
+    counts = {(r.category, r.value): r.n for r in count_facts(facts).collect()}
+    assert counts[("variables", "lowercase")] == 34 and counts[("functions", "lowercase")] == 1
