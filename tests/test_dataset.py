@@ -135,6 +135,28 @@ def test_enrichment_falls_back(spark, infer):
     assert (got[2].instruction, got[2].prompt_source) == ("given", "template")
 
 
+def test_a_fixed_number_of_tasks_is_dealt_bounded_shares(spark, monkeypatch, tmp_path):
+    from corpusloom.operators import enrich
+
+    log = str(tmp_path)
+
+    def infer(requests):
+        import os
+        import uuid
+
+        with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+            f.write(str(len(requests)))
+        return [f"Prompt: explain {json.loads(r)['prompt'].count('QQ')} things" for r in requests]
+
+    rows = [(i, "QQ " * (i + 1), None) for i in range(120)] + [(200, " ", None), (201, None, "given")]
+    size = len(json.dumps("QQ " * 60))
+    monkeypatch.setattr(enrich, "TASK_BYTES", 10 * size, raising=False)
+    got = {r.i: r.instruction for r in enrich_instructions(examples(spark, *rows), infer, concurrency=2).collect()}
+    assert len(got) == 122 and all(got[i] == f"explain {i + 1} things." for i in range(120))
+    shares = [int(open(os.path.join(log, n)).read()) for n in os.listdir(log)]
+    assert sum(shares) == 120 and max(shares) < 30  # two tasks would have 60 each
+
+
 def test_model_is_asked_for_final_examples_only(spark, corpus, tmp_path):
     log = str(tmp_path)
 
