@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import DatasetConfig, build_dataset, build_style_profile
+from corpusloom.catalog.corpus import code_files
 from corpusloom.operators.files import profile_sample, select_files
 from corpusloom.operators.python_units import UNITS
 from corpusloom.operators.registry import ExtractorRegistry
@@ -37,6 +38,20 @@ def test_filters_and_columns_reach_the_scan(stored):
     assert "content" not in re.search(r"ReadSchema: (.*)", listing).group(1)
 
 
+def test_files_of_one_row_group_use_all_cores(spark, tmp_path):
+    parts = spark.range(1000).selectExpr("id AS p_partkey", "'red blue' AS p_name", "CAST(id % 9 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1k")  # many splits, of which one has the rows
+    try:
+        assert spark.read.parquet(str(tmp_path / "part.parquet")).rdd.getNumPartitions() >= 4
+        held = [r["count"] for r in code_files(spark, str(tmp_path), ".js").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(limit, before)
+    assert sum(held) == 1000 and max(held) <= 1000 / spark.sparkContext.defaultParallelism
+
+
 def test_extractors_run_once(stored):
     text = plan(extract_examples(select_files(stored)))
     assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.M)) == 1
