@@ -273,6 +273,28 @@ def test_pairwise_stage_finds_what_stars_leave(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == groups_by_hand(docs)
 
 
+def test_sketch_keeps_apart_what_is_only_related(spark):
+    """Copies of one text with edits enough that none are linked pass no condition of the pairwise join; linked ones all do."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+
+    def changed(edits):
+        text = list(base)
+        for at in rng.sample(range(400), edits):
+            text[at] = f"x{rng.randrange(10 ** 6)}"
+        return " ".join(text)
+
+    docs = [(i, changed(14 if i < 60 else 2)) for i in range(70)]
+    sets = [shingles_by_hand(t) for _, t in docs]
+    narrow = spark.createDataFrame(docs, DOCS).withColumn("copy", F.xxhash64("text"))
+    facts = ngram_join.classes(narrow).cache()
+    a, b = (facts.select(*(F.col(c).alias(p + c) for c in facts.columns)) for p in ("a_", "b_"))
+    passed = {(r.a_doc_id, r.b_doc_id) for r in a.join(b, F.col("a_doc_id") < F.col("b_doc_id")).where(
+        ngram_join._may_be_similar("a_", "b_")).collect()}
+    linked = {(i, j) for j in range(70) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert linked <= passed and not any(j < 60 for _, j in passed)
+
+
 def test_every_linked_pair_shares_a_signature():
     docs = [t.encode() for _, t in near_copies(11, 260)]
     owner, hashes = ngram_join.shingles(docs)
