@@ -13,10 +13,14 @@ marks, so an unchanged segment gives both lines a common key. A line also takes
 shorter partner may be there. Keys are dealt once and join with themselves.
 
 A key's lines meet its earliest line first, in order of place. Only lines for which no such partner is found meet the rest of their key,
-and where that has more than `HOT` lines, only those with the same counts in one of 2 * k + 1 groups of letters, which k edits leave. A pair has to
+and where that has more than `HOT` lines, only those with the same counts in one of 2 * k + 1 groups of letters, which k edits leave. They meet in the
+first such group of the first key of one budget that they share, so a pair is written once for a budget. A pair has to
 agree, up to the budget, in length and in counts of frequent letters, which is tested inside the join, then in small pieces (k edits spoil k pieces at most),
-and is verified with a banded bit-parallel edit distance of what is left after the common beginning and end: the band of 2 * k + 1
-diagonals is one integer, up to 31 edits (16,383 characters); above that, Spark's banded distance decides.
+and is verified by the edit distance of what is left after the common beginning and end: Spark's own, and for more than `LONG` characters a
+banded bit-parallel one, whose band of 2 * k + 1 diagonals is one integer, up to 31 edits.
+
+The counts are compared as ring codes of 8 bits, of which neighbours differ in one bit: so the condition is two counts of bits, and stays
+below the 8,000 bytes of code above which the JVM does not compile a method.
 
 Only hashes, places and counts of lines are shuffled; texts come in for candidates. A line held by more than one in `HEAVY` of all lines
 is indexed at its first place alone: there are at most `HEAVY` such lines, which is what is broadcast. Lines are told apart by 64 bits of hash,
@@ -48,6 +52,10 @@ HOT = 64
 #: Letters whose counts are compared, each modulo 16.
 COUNTED = "etnaorisdlhugcm "
 _BITS = 4
+#: Texts of more characters are not given to Spark's distance, whose work grows with the square of the length.
+LONG = 4000
+#: Bits of a hash that name a word of a bitmap: 2 ** 18 words of 64 bits at most, whatever the corpus.
+WORD_BITS = 18
 #: Budgets whose keys are written out; larger ones take the general form, with equal results.
 WRITTEN_OUT = range(LEAST_EDITS, 5)
 #: Bits of the integer that holds a band.
@@ -129,18 +137,17 @@ def letter_counts(line: Column) -> Column:
     return total
 
 
-def letters_agree(a: Column, b: Column, edits) -> Column:
-    """False only if the counts alone prove more than `edits` edits."""
-    other = a.bitwiseXOR(b)
-    other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
-    other = other.bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseAND(F.lit(sum(1 << (i * _BITS) for i in range(len(COUNTED)))))
-    few = F.bit_count(other) <= edits * 2  # letters whose counts differ at all
-    total = F.lit(0)
-    for i in range(len(COUNTED)):
-        mask = F.lit((1 << _BITS) - 1).cast("long")
-        gap = F.abs(F.shiftright(a, i * _BITS).bitwiseAND(mask) - F.shiftright(b, i * _BITS).bitwiseAND(mask))
-        total = total + F.least(gap, F.lit(1 << _BITS) - gap)
-    return few & (total <= edits * 2)
+def ring_codes(letters: Column) -> list[Column]:
+    """Two integers for packed counts; codes of two counts differ in as many bits as the counts differ modulo 16, either way round."""
+    out = []
+    for half in (0, len(COUNTED) // 2):
+        total = None
+        for i in range(len(COUNTED) // 2):
+            count = F.shiftright(letters, (half + i) * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+            code = _call("shiftrightunsigned", F.lit(0xFF00).cast("long"), count).bitwiseAND(F.lit(0xFF).cast("long"))
+            total = code if total is None else total.bitwiseOR(F.shiftleft(code, i * 8))
+        out.append(total)
+    return out
 
 
 def letter_groups(letters: Column, edits: Column) -> Column:
@@ -189,7 +196,8 @@ def distance(a: Column, b: Column, edits: Column) -> Column:
 
     def measured(s: Column) -> Column:
         wide = _call("levenshtein", s.a, s.b, edits)
-        return F.when(edits <= WIDEST, edit_distance(s.a, s.b, edits)).otherwise(F.when(wide >= 0, wide))
+        by_bits = (edits <= WIDEST) & (F.char_length(s.a) > LONG)
+        return F.when(by_bits, edit_distance(s.a, s.b, edits)).otherwise(F.when(wide >= 0, wide))
 
     return _let(_alike(a, b, room, lambda t, done, more: F.substring(t, done + 1, more)), with_head)
 
@@ -281,11 +289,33 @@ def _members(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return once.join(shared, "key")
 
 
+def _measures(line: str) -> list[Column]:
+    """What `_close` compares, of a struct with length and letters."""
+    first, second = ring_codes(F.col(f"{line}letters"))
+    return [F.col(f"{line}length").alias("length"), budget(F.col(f"{line}length")).alias("edits"), first.alias("first"), second.alias("second")]
+
+
 def _close(a: str, b: str) -> Column:
-    """Whether the lines (id, length, letters) of two structs or prefixes may be near."""
-    edits = budget(F.least(F.col(f"{a}.length"), F.col(f"{b}.length")))
-    return letters_agree(F.col(f"{a}.letters"), F.col(f"{b}.letters"), edits) & (
-        F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits)
+    """Whether the lines of two structs may be near."""
+    edits = F.least(F.col(f"{a}.edits"), F.col(f"{b}.edits"))  # the shorter line's
+    apart = F.bit_count(F.col(f"{a}.first").bitwiseXOR(F.col(f"{b}.first"))) + F.bit_count(F.col(f"{a}.second").bitwiseXOR(F.col(f"{b}.second")))
+    return (F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits) & (apart <= edits * 2)
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, mark: str) -> DataFrame:
+    """`rows` with whether their `key`, a hash, may be in the only column of `wanted`, by a bitmap of bounded size: more keys only
+    mark more rows."""
+    (name,) = wanted.columns
+    word, bits = fresh(rows, "word"), fresh(rows, "bits")
+
+    def place(column: str) -> tuple[Column, Column]:
+        return F.shiftrightunsigned(column, 64 - WORD_BITS), F.col(column).bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+    at, bit = place(name)
+    words = wanted.groupBy(at.alias(word)).agg(F.bit_or(_call("shiftleft", F.lit(1).cast("long"), bit)).alias(bits))
+    at, bit = place(key)
+    held = _call("shiftrightunsigned", F.col(bits), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return rows.withColumn(word, at).join(F.broadcast(words), word, "left").withColumn(mark, F.coalesce(held, F.lit(False))).drop(word, bits)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -293,7 +323,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = staged(pairs.distinct(), "line_pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = staged(
-        lines.select("id", "line", "more").join(wanted, "id", "left_semi").groupBy("id").agg(
+        _marked(lines.select("id", "line", "more"), "id", wanted, "may").where("may").join(wanted, "id", "left_semi").groupBy("id").agg(
             F.first("line").alias("line"), F.first("more").alias("more")), "line_texts")
     both = pairs.join(texts.toDF("a", "line_a", "more_a"), "a").join(texts.toDF("b", "line_b", "more"), "b")
     ordered = F.char_length("line_a") <= F.char_length("line_b")
@@ -311,16 +341,31 @@ def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", doc: str
     """(id, more) of the different lines to which an earlier line is near, once each."""
     lines = _lines(docs, doc, text)
     members = staged(_members(lines, firsts), "line_members")
-    group = F.when(F.col("hot"), letter_groups(F.col("letters"), F.col("k"))).otherwise(F.array(F.lit(0).cast("long")))
-    own = members.select("key", group.alias("groups"), "low", F.struct("id", "at", "length", "letters").alias("b"))
-    stars = own.where((F.col("low.id") != F.col("b.id")) & (F.col("low.at") < F.col("b.at")) & _close("low", "b"))
+    measured = members.select("key", "k", "hot", "letters", "low", F.struct("id", "at", *_measures("")).alias("b"))
+    stars = measured.where((F.col("low.id") != F.col("b.id")) & (F.col("low.at") < F.col("b.at"))).withColumn(
+        "a", F.struct(*_measures("low."))).where(_close("a", "b"))
     found = staged(_verified(stars.select(F.col("low.id").alias("a"), F.col("b.id").alias("b")), lines), "line_stars")
-    undecided = own.join(found.select(F.col("b").alias("done")).distinct(), F.col("b.id") == F.col("done"), "left_anti")
-    earlier = members.where("id <> low.id").select("key", F.explode(group).alias("group"), F.struct("id", "at", "length", "letters").alias("a"))
+    # from here on without each key's earliest line
+    more = measured.where("b.id <> low.id")
+    several = more.groupBy("key").agg(F.min("b.id").alias("least"), F.max("b.id").alias("most")).where("least <> most").select("key")
+    more = more.join(several, "key", "left_semi")
+    held = more.groupBy(F.col("b.id").alias("id"), "k").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumnRenamed("k", "of_k")
+    less = F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)
+    groups = F.when(F.col("hot"), letter_groups(F.col("letters"), F.col("k"))).otherwise(F.array(F.lit(0).cast("long")))
+    more = staged(more.join(held, (F.col("b.id") == F.col("id")) & (F.col("k") == F.col("of_k"))).select(
+        "key", "b", less.alias("less"), groups.alias("groups")), "line_meetings")
+    undecided = more.join(found.select(F.col("b").alias("done")).distinct(), F.col("b.id") == F.col("done"), "left_anti")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    later = undecided.where("b.id <> low.id").select("key", F.explode("groups").alias("group"), "b").repartition(tasks, "key", "group")
-    rest = later.join(earlier, ["key", "group"]).where(
-        _close("a", "b") & (F.col("a.id") != F.col("b.id")) & (F.col("a.at") < F.col("b.at")))
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        """One row for each group, with the groups and keys that come before it."""
+        each = rows.select("key", "b", "less", "groups", F.posexplode("groups").alias("n", "group"))
+        return each.select("key", "group", F.col("b").alias(name), F.col("less").alias(f"{name}_keys"), F.slice(
+            "groups", 1, F.col("n")).alias(f"{name}_groups")).repartition(tasks, "key", "group")
+
+    rest = dealt(undecided, "b").join(dealt(more, "a"), ["key", "group"]).where(
+        (F.col("a.id") != F.col("b.id")) & (F.col("a.at") < F.col("b.at")) & _close("a", "b")
+        & ~F.arrays_overlap("a_groups", "b_groups") & ~F.arrays_overlap("a_keys", "b_keys"))
     others = _verified(rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), lines)
     return found.union(others).select(F.col("b").alias("id"), "more").distinct()
 
@@ -340,14 +385,19 @@ def decide(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFram
 
 def dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """All columns of `docs`, the text without its repeated lines, and `line_counts`: lines, removed as copies, and as near copies."""
-    copy, own, counts = (fresh(docs, c) for c in ("copy", "removed", "line_counts"))
-    judged = decide(docs, text, doc)
-    keyed = docs.withColumn(copy, F.xxhash64(text))
+    copy, own, counts, place, may = (fresh(docs, c) for c in ("copy", "removed", "line_counts", "place", "may"))
+    judged = staged(decide(docs, text, doc), "line_removed")
+    keyed = docs.withColumn(copy, F.xxhash64(text)).withColumn(place, F.xxhash64(doc, copy))
+    keyed = _marked(keyed, place, judged.select(F.xxhash64("doc", "copy").alias("place")), may)
+    changed = keyed.where(may)
     other = judged.toDF(*(fresh(keyed, f"of_{c}") for c in judged.columns))
     of_doc, of_copy, of_removed = other.columns
-    joined = keyed.join(
-        other, F.col(of_doc).eqNullSafe(keyed[doc]) & (F.col(of_copy) == keyed[copy]), "left"
-    ).withColumnRenamed(of_removed, own)
+    joined = changed.join(
+        other, F.col(of_doc).eqNullSafe(changed[doc]) & (F.col(of_copy) == changed[copy]), "left"
+    ).withColumnRenamed(of_removed, own).select(*docs.columns, own)
+    # texts that lose nothing are not dealt
+    same = keyed.where(~F.col(may)).select(*docs.columns, F.lit(None).cast(judged.schema["removed"].dataType).alias(own))
+    joined = joined.union(same)
     lines = F.split(text, "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"{own}.pos"))  # by hash, not line by line
     kept = F.array_join(F.transform(places, lambda place: F.get(lines, place)), "\n")

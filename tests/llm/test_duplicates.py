@@ -210,6 +210,34 @@ def test_line_segment_of_very_many_lines(spark):
     assert left == set(range(len(lines)))
 
 
+def test_related_lines_meet_once(spark, monkeypatch):
+    """Two hundred lines of one family, none near another: each pair is written for one key and group at most, and few are."""
+    rng = random.Random(21)
+    base = [rng.choice(["stone", "river", "cloud", "amber", "light", "house"]) for _ in range(50)]
+
+    def changed():
+        words = list(base)
+        for at in rng.sample(range(50), 3):
+            words[at] = "".join(rng.choice("etaoinshr") for _ in range(5))
+        return " ".join(words)
+
+    lines, seen = [changed() for _ in range(200)], []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, lines: seen.append((pairs.count(), pairs.distinct().count())) or verified(pairs, lines))
+    docs = [(i, line) for i, line in enumerate(lines)]
+    out = line_dedup.dedup(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted(lines_by_hand(docs))
+    assert seen[1][0] == seen[1][1] > 0
+
+
+def test_ring_codes(spark):
+    rows = spark.range(16).crossJoin(spark.range(16).toDF("other")).select(
+        "id", "other", *(F.struct(*line_dedup.ring_codes(F.shiftleft(c, 60).bitwiseOR(F.shiftleft(c, 4)))).alias(n) for c, n in (("id", "a"), ("other", "b"))))
+    for r in rows.collect():
+        apart = min(abs(r.id - r.other), 16 - abs(r.id - r.other))
+        assert [bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(r.a, r.b)] == [apart, apart]
+
+
 def test_line_plan_has_no_python(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     assert "Python" not in line_dedup.dedup(docs)._jdf.queryExecution().toString()
